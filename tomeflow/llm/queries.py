@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeflow.llm import decontaminate, html_text, langid, mixing, ngram_lm, nndescent, pii, simhash, warc
+from tomeflow.llm import decontaminate, html_text, langid, mixing, ngram_lm, nndescent, pii, simhash, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,8 @@ def op7_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_mixing, op4_quality, op5_pii, op6_warc, op7_nndescent, op9_html_text, op10_langid)
+    f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_mixing, op4_quality, op5_pii, op6_warc, op7_nndescent, op8_suffix_dedup, op9_html_text, op10_langid)
 }
 
 #: The others have no SQL form: hashing, models, graphs and parsers; their tests are against brute force.
