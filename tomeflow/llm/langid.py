@@ -193,8 +193,11 @@ class Parser:
 def sample_text(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_symbols: int = SAMPLE_SYMBOLS) -> dict[str, str]:
     """A bounded sample of each language's labelled text; at most ``sample_docs`` rows a language reach the driver."""
     labelled = docs.where((folds() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ranked = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    ids = labelled.select("doc_id", "lang").distinct().withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= sample_docs)
+    order = (F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id"))
+    ids = labelled.select("doc_id", "lang").distinct()
+    # first within hashed parts of a language, so that its rows never meet in one task
+    for part in (["lang", F.pmod(F.xxhash64("doc_id"), F.lit(256))], ["lang"]):
+        ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("nth") <= sample_docs)
     chosen = {(r.lang, r.doc_id): r.nth for r in ids.collect()}
     if not chosen:
         return {}

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeflow.llm.common import by_key, connected_components, cut, sorted_groups, texts_of
+from tomeflow.llm.common import by_key, connected_components, cut, keep_rows, small_enough, sorted_groups, texts_of
 
 SEED = 42
 REFERENCES = 32
@@ -307,3 +307,241 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, group_li
     out = fps.join(named, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+# Deduplication by similarity: the fingerprints propose, shingle sets decide.
+
+SIMILARITY = 0.8
+#: Bits that two prints of 64 may differ in and still be compared; 0.8 is at 19 of 128 on average, four deviations are 16 more.
+NEAR_BITS = 18
+LEADERS = 3
+ALL_PAIRS = 48
+SALT = 2000
+
+
+def _sketch(text: bytes, words: int, prints: int, band_bits: int, weak: int) -> tuple[int, list[int], list[int]]:
+    """``(digest, fingerprints, masks)``: a mask has the ``weak`` bits of least majority in each band."""
+    tokens = text.lower().split()
+    joined = b" ".join(tokens)
+    digest = xxhash.xxh3_64_intdigest(joined, seed=7)
+    if not tokens:
+        return digest, [0] * prints, [0] * prints
+    ends = list(accumulate(len(t) + 1 for t in tokens))
+    n = max(1, len(tokens) - words + 1)
+    starts = [0, *ends]
+    stops = [*ends[words - 1 :]] if len(tokens) >= words else [len(joined) + 1]
+    fps, masks = [], []
+    for k in range(prints):
+        ones = np.zeros(64, np.int64)
+        for lo in range(0, n, SHINGLES_AT_ONCE):
+            hi = min(n, lo + SHINGLES_AT_ONCE)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(joined[i : j - 1], SEED + k) for i, j in zip(starts[lo:hi], stops[lo:hi], strict=True)), np.uint64, hi - lo)
+            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        margin = 2 * ones - n
+        fps.append(int(np.packbits((margin > 0).astype(np.uint8), bitorder="little").view(np.uint64)[0]))
+        mask = 0
+        for band in range(64 // band_bits):
+            for i in np.argsort(np.abs(margin[band * band_bits : (band + 1) * band_bits]), kind="stable")[:weak].tolist():
+                mask |= 1 << (band * band_bits + i)
+        masks.append(mask)
+    return digest, fps, masks
+
+
+def sketches(docs: DataFrame, words: int, prints: int, band_bits: int, weak: int) -> DataFrame:
+    """``(doc_id, row_key, digest, fp, weak)`` of each row; the last two are arrays, one entry a print."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [_sketch(t, words, prints, band_bits, weak) for t in texts_of(batch.column(2))]
+            signed = lambda rows: pa.array([np.array(r, np.uint64).view(np.int64).tolist() for r in rows], pa.list_(pa.int64()))
+            digest = np.array([g[0] for g in got], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest), signed([g[1] for g in got]), signed([g[2] for g in got])], names=["doc_id", "row_key", "digest", "fp", "weak"])
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id"), text).alias("row_key"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row_key long, digest long, fp array<long>, weak array<long>")
+
+
+def _subsets(mask: np.ndarray, weak: int) -> list[np.ndarray]:
+    """For each row, every combination of its mask's bits but none; ``weak`` bits each."""
+    bits, rest = [], mask.copy()
+    for _ in range(weak):
+        low = rest & (~rest + np.uint64(1))
+        bits.append(low)
+        rest ^= low
+    out = []
+    for c in range(1, 1 << weak):
+        x = np.zeros(len(mask), np.uint64)
+        for i, b in enumerate(bits):
+            if c >> i & 1:
+                x |= b
+        out.append(x)
+    return out
+
+
+_PAIR_COLUMNS = "key long, probe int, id long, p0 long, p1 long"
+
+
+def banded(classes: DataFrame, band_bits: int, weak: int) -> DataFrame:
+    """Each class under the distance-table key of its bands, and under those with some of its weakest bits turned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs = references()
+        for b in batches:
+            ids = b.column(0)
+            fps = np.array(b.column(1).to_pylist(), np.int64).view(np.uint64)
+            masks = np.array(b.column(2).to_pylist(), np.int64).view(np.uint64)
+            if not len(fps):
+                continue
+            p0, p1 = pa.array(fps[:, 0].view(np.int64)), pa.array(fps[:, -1].view(np.int64))
+            for k in range(fps.shape[1]):
+                for band in range(64 // band_bits):
+                    area = ((1 << band_bits) - 1) << (band * band_bits)
+                    start = np.full(len(fps), k * 64 + band + 1, np.uint64)
+                    for n, turn in enumerate([np.zeros(len(fps), np.uint64), *_subsets(masks[:, k] & np.uint64(area), weak)]):
+                        key = _fold(start, distances(fps[:, k] ^ turn, area, refs[:16]))
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), int(n > 0), np.int32)), ids, p0, p1], names=["key", "probe", "id", "p0", "p1"])
+
+    return classes.select("id", "fp", "weak").mapInArrow(run, _PAIR_COLUMNS)
+
+
+def _near(table: np.ndarray, p0: np.ndarray, p1: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs pass the distance tables, then the fingerprints."""
+    keep = np.arange(len(i))
+    for c in range(table.shape[1]):
+        keep = keep[np.abs(table[i[keep], c].astype(np.int16) - table[j[keep], c]) <= NEAR_BITS]
+    bits = np.bitwise_count(p0[i[keep]] ^ p0[j[keep]]) + np.bitwise_count(p1[i[keep]] ^ p1[j[keep]])
+    return keep[bits <= 2 * NEAR_BITS]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a key's classes with near fingerprints; in a large group every class is paired with its first few leaders."""
+    for rows in sorted_groups(batches, "key"):
+        rows = rows.combine_chunks()
+        key, probe, ids = (np.asarray(rows.column(c)) for c in ("key", "probe", "id"))
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        run = np.repeat(np.arange(len(starts)), sizes)
+        p0, p1 = (np.asarray(rows.column(c)).view(np.uint64) for c in ("p0", "p1"))
+        table = distances(p0, refs=references()[:4])
+        left, right = [], []
+        few = np.flatnonzero((sizes <= ALL_PAIRS)[run])
+        if len(few):
+            r, base = run[few], probe[few] == 0
+            for step in range(1, int(sizes[run[few]].max())):
+                at = np.flatnonzero(r[step:] == r[:-step])
+                if not len(at):
+                    break
+                at = at[(base[at] | base[at + step])]
+                i, j = few[at], few[at + step]
+                ok = _near(table, p0, p1, i, j)
+                left.append(ids[i[ok]])
+                right.append(ids[j[ok]])
+        for g in np.flatnonzero(sizes > ALL_PAIRS):
+            s = np.arange(starts[g], starts[g] + sizes[g])
+            if not (probe[s] == 0).any():
+                continue
+            s = s[np.unique(ids[s], return_index=True)[1]]
+            told = np.zeros(len(s), np.int64)
+            open_ = np.arange(len(s))
+            while len(open_):
+                lead, open_ = open_[0], open_[1:]
+                near = open_[_near(table, p0, p1, np.full(len(open_), s[lead]), s[open_])]
+                left.append(np.full(len(near), ids[s[lead]]))
+                right.append(ids[s[near]])
+                told[near] += 1
+                open_ = open_[told[open_] < LEADERS]
+        if left:
+            a, b = np.concatenate(left), np.concatenate(right)
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            pairs = np.unique(np.stack([a, b])[:, a != b], axis=1)
+            if pairs.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    tokens = text.lower().split()
+    joined = [b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))] if tokens else []
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, joined), np.uint64, len(joined)))
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets reach ``similarity``; ``texts`` is ``(id, text)``.
+
+    A class that leads many is dealt out with parts of its followers, so that
+    none is gathered whole.
+    """
+    pairs = cut(pairs)
+    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    side = F.broadcast(needed) if small_enough(needed) else needed
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, words).tobytes() for t in texts_of(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    sets = texts.join(side, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(hashed, "id long, shingles binary")
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+    followers = pairs.join(salts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("salts"))).alias("key"), "a", "b")
+    followers = followers.join(sets.withColumnRenamed("id", "b"), "b").select("key", "a", "b", "shingles")
+    leaders = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "salts")
+    leaders = leaders.join(sets.withColumnRenamed("id", "a"), "a").select(F.xxhash64("a", F.col("salt").cast("long")).alias("key"), "a", F.lit(None).cast("long").alias("b"), "shingles")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead: dict[int, np.ndarray] = {}
+        for batch in batches:
+            left, right = [], []
+            for a, b, s in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "shingles")], strict=True):
+                own = np.frombuffer(s, np.uint64)
+                if b is None:
+                    lead = {a: own}  # sorted first under its key
+                elif _jaccard(lead[a], own) >= similarity:
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    both = leaders.unionByName(followers)
+    return by_key(both.withColumn("last", F.col("b").isNotNull()), "key", compare, "a long, b long", then=("a", "last"))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """``(doc_id, row_key, component_id)``: groups of documents linked at ``similarity`` over word shingles.
+
+    Copies of one sequence of words collapse first. Bands grow with the number of
+    texts, so that their keys stay selective, and with them the bits turned.
+    """
+    count = docs.count()
+    band_bits = 16 if count < 1 << 20 else 20 if count < 1 << 24 else 24
+    prints, weak = (2, 4) if band_bits == 16 else (3, band_bits // 4)
+    rows = cut(sketches(docs, words, prints, band_bits, weak))
+    named = rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
+    classes = cut(rows.select("digest", "fp", "weak").dropDuplicates(["digest"]).join(named, "digest").select("digest", "id", "fp", "weak"))
+    pairs = by_key(banded(classes, band_bits, weak), "key", _candidates, "a long, b long", then=("id",)).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    comps = connected_components(verified(pairs, texts, words, similarity))
+    group = classes.join(comps, classes.id == comps.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    return rows.select("doc_id", "row_key", "digest").join(group, "digest", "left").select("doc_id", "row_key", "component_id")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group, the one with the smallest id; its columns stay as they are.
+
+    Of repeated rows one stays. Rows with a null id go if a document with an id
+    has the same words.
+    """
+    groups = cut(similar_groups(docs.select("doc_id", "text"), words, similarity))
+    stays = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    out = keep_rows(docs, groups.where(~stays), "left_anti")
+    repeated = cut(groups.where(stays).groupBy("row_key").count().where("count > 1").select("row_key"))
+    if repeated.isEmpty():
+        return out
+    once = keep_rows(out, repeated, "left_anti")
+    return once.unionByName(keep_rows(out, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
