@@ -315,7 +315,7 @@ SIMILARITY = 0.8
 #: Bits that two prints of 64 may differ in and still be compared; 0.8 is at 19 of 128 on average, four deviations are 16 more.
 NEAR_BITS = 18
 LEADERS = 3
-ALL_PAIRS = 48
+ALL_PAIRS = 20_000
 SALT = 2000
 
 
@@ -415,42 +415,41 @@ def _near(table: np.ndarray, p0: np.ndarray, p1: np.ndarray, i: np.ndarray, j: n
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a key's classes with near fingerprints; in a large group every class is paired with its first few leaders."""
+    """Pairs with near fingerprints of a class under its own key and one that is under it, own or turned.
+
+    Rows come sorted by key, own ones first, then id. In a group of over
+    ``ALL_PAIRS`` comparisons a row is done with once ``LEADERS`` have told it, so
+    that many copies of a text don't make all their pairs.
+    """
     for rows in sorted_groups(batches, "key"):
         rows = rows.combine_chunks()
         key, probe, ids = (np.asarray(rows.column(c)) for c in ("key", "probe", "id"))
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
-        run = np.repeat(np.arange(len(starts)), sizes)
+        own = np.add.reduceat((probe == 0).astype(np.int64), starts)
         p0, p1 = (np.asarray(rows.column(c)).view(np.uint64) for c in ("p0", "p1"))
-        table = distances(p0, refs=references()[:4])
+        table = distances(p0, refs=references()[:2])
         left, right = [], []
-        few = np.flatnonzero((sizes <= ALL_PAIRS)[run])
-        if len(few):
-            r, base = run[few], probe[few] == 0
-            for step in range(1, int(sizes[run[few]].max())):
-                at = np.flatnonzero(r[step:] == r[:-step])
-                if not len(at):
-                    break
-                at = at[(base[at] | base[at + step])]
-                i, j = few[at], few[at + step]
-                ok = _near(table, p0, p1, i, j)
-                left.append(ids[i[ok]])
-                right.append(ids[j[ok]])
-        for g in np.flatnonzero(sizes > ALL_PAIRS):
-            s = np.arange(starts[g], starts[g] + sizes[g])
-            if not (probe[s] == 0).any():
-                continue
-            s = s[np.unique(ids[s], return_index=True)[1]]
-            told = np.zeros(len(s), np.int64)
-            open_ = np.arange(len(s))
-            while len(open_):
-                lead, open_ = open_[0], open_[1:]
-                near = open_[_near(table, p0, p1, np.full(len(open_), s[lead]), s[open_])]
-                left.append(np.full(len(near), ids[s[lead]]))
-                right.append(ids[s[near]])
+        small = sizes * own <= ALL_PAIRS
+        for nth in range(int(own[small].max(initial=0))):
+            g = np.flatnonzero(small & (own > nth))
+            n = sizes[g] - nth - 1
+            i = np.repeat(starts[g] + nth, n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            ok = _near(table, p0, p1, i, j)
+            left.append(ids[i[ok]])
+            right.append(ids[j[ok]])
+        for g in np.flatnonzero(~small):
+            told = np.zeros(sizes[g], np.int64)
+            open_ = np.arange(sizes[g])
+            for lead in range(own[g]):
+                if told[lead] >= LEADERS:
+                    continue
+                open_ = open_[(told[open_] < LEADERS) & (open_ > lead)]
+                near = open_[_near(table, p0, p1, np.full(len(open_), starts[g] + lead), starts[g] + open_)]
+                left.append(np.full(len(near), ids[starts[g] + lead]))
+                right.append(ids[starts[g] + near])
                 told[near] += 1
-                open_ = open_[told[open_] < LEADERS]
         if left:
             a, b = np.concatenate(left), np.concatenate(right)
             a, b = np.minimum(a, b), np.maximum(a, b)
@@ -524,7 +523,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = SIMILARI
     rows = cut(sketches(docs, words, prints, band_bits, weak))
     named = rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
     classes = cut(rows.select("digest", "fp", "weak").dropDuplicates(["digest"]).join(named, "digest").select("digest", "id", "fp", "weak"))
-    pairs = by_key(banded(classes, band_bits, weak), "key", _candidates, "a long, b long", then=("id",)).distinct()
+    pairs = by_key(banded(classes, band_bits, weak), "key", _candidates, "a long, b long", then=("probe", "id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     comps = connected_components(verified(pairs, texts, words, similarity))
     group = classes.join(comps, classes.id == comps.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
