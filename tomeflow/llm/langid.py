@@ -109,7 +109,7 @@ def suffix_automaton(text: str) -> tuple[list[dict[str, int]], list[int]]:
 class Parser:
     """Cross-parser over the automata of all languages.
 
-    ``go[state + symbol]`` is twice the next state, plus one where a phrase ends;
+    ``go[state + symbol]`` is twice the next state, plus one where a phrase starts;
     states are multiples of the alphabet's size.
     """
 
@@ -132,6 +132,7 @@ class Parser:
                     go[s, symbol[ch]] = t
             root = np.where(go[0] >= 0, go[0], 0)
             ended = go < 0
+            ended[0] = True  # after the root, any symbol starts a phrase
             go = np.where(ended, root[None, :], go) * self.width + base
             tables.append((go * 2 + ended).astype(np.int64).ravel())
             self.roots.append(base)
@@ -153,7 +154,7 @@ class Parser:
             count[:, :k] += v & 1
             state[:, :k] = v >> 1
         out = np.empty_like(count)
-        out[:, order] = count + (size > 0)
+        out[:, order] = count
         return out
 
     def predict(self, offsets: np.ndarray, raw: np.ndarray) -> tuple[list[str], np.ndarray]:

@@ -286,7 +286,7 @@ def classify(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
     of_lang = F.broadcast(of_lang) if small_enough(of_lang, 100_000) else of_lang
     out = scored.join(of_lang, scored["lang"].eqNullSafe(F.col("__lang")), "left")
     middle, low_z, high_z = (F.coalesce(F.col(c), F.lit(everywhere[c]).cast("double")) for c in ("centre", "low_z", "high_z"))
-    spread = F.sqrt(F.least(F.col("n_chars"), F.lit(LENGTH_CAP)))
+    spread = F.sqrt(F.greatest(F.least(F.col("n_chars"), F.lit(LENGTH_CAP)), F.lit(1)))
     low_at, high_at = middle + (low_z - margin) / spread, middle + (high_z + margin) / spread
     inside = F.coalesce(F.col("log_ppl").between(low_at, high_at), F.col("log_ppl").isNotNull())
     return out.select("doc_id", "lang", "row_key", "n_chars", F.exp("log_ppl").alias("perplexity"), F.exp(low_at).alias("low"), F.exp(high_at).alias("high"), inside.alias("kept"))
