@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from tomeflow.llm import simhash
@@ -145,3 +146,28 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert out.columns == ["doc_id", "text", "fp", "rep", "lang"]
     assert sorted(r.doc_id for r in out.collect()) == [1, 7, 8]
     assert simhash.deduplicate(frame(spark, [])).count() == 0
+
+
+def test_links_in_a_large_group_of_texts_just_below_the_threshold(spark, monkeypatch):
+    rng = random.Random(5)
+    base, rows = [str(rng.randrange(10**6)) for _ in range(300)], []
+    for _ in range(150):
+        w = [*base]
+        for k in rng.sample(range(300), 6):
+            w[k] = f"x{rng.randrange(10**6)}"
+        rows.append((len(rows), " ".join(w)))
+    for i in range(50, 100):
+        rows.append((len(rows), rows[i][1].rsplit(" ", 1)[0] + " end"))
+    texts, n = dict(rows), len(rows)
+    wanted = union([(a, b) for a in texts for b in texts if a < b and jaccard(texts[a], texts[b]) >= 0.8], texts)
+    assert 40 <= n - len(set(wanted.values())) <= 120
+    zero = np.zeros(n, np.int64)  # one key whose fingerprints are all near
+    group = pa.RecordBatch.from_arrays([pa.array(zero), pa.array(zero.astype(np.int32)), pa.array(np.arange(n)), pa.array(zero), pa.array(zero)], names=["key", "probe", "id", "p0", "p1"])
+    assert n * n > simhash.ALL_PAIRS
+    pairs = [p for b in simhash._candidates(iter([group])) for p in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+    pairs = spark.createDataFrame(pairs, "a long, b long")
+    table = spark.createDataFrame(rows, "id long, text string")
+    for block in (1 << 19, 10_000):  # one block, then six
+        monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+        found = [(r.a, r.b) for r in simhash.verified(pairs, table, 5, 0.8).collect()]
+        assert union(found, texts) == wanted

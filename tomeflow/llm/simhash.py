@@ -316,9 +316,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, group_li
 SIMILARITY = 0.8
 #: Bits that two prints of 64 may differ in and still be compared; 0.8 is at 19 of 128 on average, four deviations are 16 more.
 NEAR_BITS = 18
-LEADERS = 3
 ALL_PAIRS = 20_000
-SALT = 2000
+#: Shingles of a cluster in one block.
+BLOCK = 1 << 19
 
 
 def _sketch(text: bytes, words: int, prints: int, band_bits: int, weak: int) -> tuple[int, list[int], list[int]]:
@@ -416,12 +416,26 @@ def _near(table: np.ndarray, p0: np.ndarray, p1: np.ndarray, i: np.ndarray, j: n
     return keep[bits <= 2 * NEAR_BITS]
 
 
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least row that each of ``n`` rows reaches over the links ``i, j``."""
+    root = np.arange(n)
+    while True:
+        a, b = root[i], root[j]
+        if np.array_equal(a, b):
+            return root
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with near fingerprints of a class under its own key and one that is under it, own or turned.
+    """Links ``(a, b)`` that span the classes of near fingerprints under each key, ``a`` the least id.
 
+    A class under its own key is held against every one under it, own or turned.
     Rows come sorted by key, own ones first, then id. In a group of over
-    ``ALL_PAIRS`` comparisons a row is done with once ``LEADERS`` have told it, so
-    that many copies of a text don't make all their pairs.
+    ``ALL_PAIRS`` comparisons a row that is reached leaves the rest at once, but
+    is held against all that are not reached yet; only what is connected already
+    is not compared, and ``verified`` compares that in full.
     """
     for rows in sorted_groups(batches, "key"):
         rows = rows.combine_chunks()
@@ -431,7 +445,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.add.reduceat((probe == 0).astype(np.int64), starts)
         p0, p1 = (np.asarray(rows.column(c)).view(np.uint64) for c in ("p0", "p1"))
         table = distances(p0, refs=references()[:2])
-        left, right = [], []
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         small = sizes * own <= ALL_PAIRS
         for nth in range(int(own[small].max(initial=0))):
             g = np.flatnonzero(small & (own > nth))
@@ -439,25 +453,29 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = np.repeat(starts[g] + nth, n)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
             ok = _near(table, p0, p1, i, j)
-            left.append(ids[i[ok]])
-            right.append(ids[j[ok]])
+            left.append(i[ok])
+            right.append(j[ok])
         for g in np.flatnonzero(~small):
-            told = np.zeros(sizes[g], np.int64)
-            open_ = np.arange(sizes[g])
-            for lead in range(own[g]):
-                if told[lead] >= LEADERS:
-                    continue
-                open_ = open_[(told[open_] < LEADERS) & (open_ > lead)]
-                near = open_[_near(table, p0, p1, np.full(len(open_), starts[g] + lead), starts[g] + open_)]
-                left.append(np.full(len(near), ids[starts[g] + lead]))
-                right.append(ids[starts[g] + near])
-                told[near] += 1
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            pairs = np.unique(np.stack([a, b])[:, a != b], axis=1)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            rest, queue, owned = np.arange(starts[g], starts[g] + sizes[g]), [], starts[g] + own[g]
+            while len(rest) and (queue or rest[0] < owned):
+                if queue:
+                    x = queue.pop()
+                else:
+                    x, rest = int(rest[0]), rest[1:]
+                others = rest if x < owned else rest[: np.searchsorted(rest, owned)]
+                near = _near(table, p0, p1, np.full(len(others), x), others)
+                if len(near):
+                    left.append(np.full(len(near), x))
+                    right.append(others[near])
+                    queue.extend(others[near].tolist())
+                    rest = np.delete(rest, near)
+        root = _roots(len(ids), np.concatenate(left), np.concatenate(right))
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, ids)
+        pairs = np.stack([least[root], ids])
+        pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
+        if pairs.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -467,50 +485,74 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, joined), np.uint64, len(joined)))
 
 
-def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def _similar_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Spanning forest of the sets that reach ``similarity``; a linked set leaves the rest at once.
+
+    Each set is held against all by the lists of the sets that have its shingles.
+    """
+    size = np.array([len(x) for x in sets])
+    at = np.r_[0, np.cumsum(size)]
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(len(sets)), size)[np.argsort(shingle, kind="stable")]
+    count = np.bincount(shingle)
+    first = np.cumsum(count) - count
+    rest, queue, left, right = np.ones(len(sets), bool), [], [], []
+    for start in range(len(sets)):
+        if not rest[start]:
+            continue
+        rest[start] = False
+        queue = [start]
+        while queue:
+            x = queue.pop()
+            own = shingle[at[x] : at[x + 1]]
+            n = count[own]
+            k = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(holders[k], minlength=len(sets))
+            found = np.flatnonzero(rest & (both / np.maximum(size[x] + size - both, 1) >= similarity)).tolist()
+            left += [x] * len(found)
+            right += found
+            queue += found
+            rest[found] = False
+    return left, right
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets reach ``similarity``; ``texts`` is ``(id, text)``.
+    """Links that span what reaches ``similarity`` among the classes that ``pairs`` connect; ``texts`` is ``(id, text)``.
 
-    A class that leads many is dealt out with parts of its followers, so that
-    none is gathered whole.
+    All sets of a cluster are compared. One with over ``BLOCK`` shingles is dealt
+    into blocks, and each two of them meet, so that sets move once a block and not
+    once a pair, and none is gathered whole.
     """
-    pairs = cut(pairs)
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    side = F.broadcast(needed) if small_enough(needed) else needed
+    clusters = cut(connected_components(pairs, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster")))
+    side = F.broadcast(clusters) if small_enough(clusters) else clusters
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, words).tobytes() for t in texts_of(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
-
-    sets = texts.join(side, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(hashed, "id long, shingles binary")
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
-    followers = pairs.join(salts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("salts"))).alias("key"), "a", "b")
-    followers = followers.join(sets.withColumnRenamed("id", "b"), "b").select("key", "a", "b", "shingles")
-    leaders = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "salts")
-    leaders = leaders.join(sets.withColumnRenamed("id", "a"), "a").select(F.xxhash64("a", F.col("salt").cast("long")).alias("key"), "a", F.lit(None).cast("long").alias("b"), "shingles")
+            sets = [shingle_set(t, words) for t in texts_of(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "cluster", "n", "shingles"])
+
+    members = texts.join(side, "id").select("id", "cluster", "text").dropDuplicates(["id"])
+    sets = cut(members.mapInArrow(hashed, "id long, cluster long, n long, shingles binary"))
+    blocks = sets.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    large = cut(blocks.where("blocks > 1"))
+    dealt = sets.join(F.broadcast(large) if small_enough(large) else large, "cluster", "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))))
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda x: x != F.col("block")))
+    met = dealt.withColumn("other", F.explode(others))
+    met = met.select(F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id", "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for rows in sorted_groups(batches, "key"):
+            key, ids = (rows.column(c).to_numpy() for c in ("key", "id"))
+            held = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             left, right = [], []
-            for a, b, s in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "shingles")], strict=True):
-                own = np.frombuffer(s, np.uint64)
-                if b is None:
-                    lead = {a: own}  # sorted first under its key
-                elif _jaccard(lead[a], own) >= similarity:
-                    left.append(a)
-                    right.append(b)
+            for lo, hi in zip(starts, [*starts[1:], len(key)], strict=True):
+                a, b = _similar_forest(held[lo:hi], similarity)
+                left += ids[lo:hi][a].tolist() if a else []
+                right += ids[lo:hi][b].tolist() if b else []
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    both = leaders.unionByName(followers)
-    return by_key(both.withColumn("last", F.col("b").isNotNull()), "key", compare, "a long, b long", then=("a", "last"))
+    return by_key(met, "key", compare, "a long, b long", then=("id",))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
