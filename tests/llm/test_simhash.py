@@ -171,3 +171,13 @@ def test_links_in_a_large_group_of_texts_just_below_the_threshold(spark, monkeyp
         monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
         found = [(r.a, r.b) for r in simhash.verified(pairs, table, 5, 0.8).collect()]
         assert union(found, texts) == wanted
+
+
+def test_texts_whose_lines_repeat_differently_have_one_sketch(spark):
+    rng = random.Random(6)
+    body, line = ([f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (200, 12))
+    rows = [(i, " ".join(body + line * n)) for i, n in enumerate((2, 20, 60))]
+    assert jaccard(rows[0][1], rows[2][1]) == 1
+    once, often, oftener = (simhash._sketch(t.encode(), 5, 2, 16, 4)[1:] for _, t in rows)
+    assert once == often == oftener
+    assert {r.component_id for r in simhash.similar_groups(frame(spark, rows)).collect()} == {0}

@@ -322,23 +322,28 @@ BLOCK = 1 << 19
 
 
 def _sketch(text: bytes, words: int, prints: int, band_bits: int, weak: int) -> tuple[int, list[int], list[int]]:
-    """``(digest, fingerprints, masks)``: a mask has the ``weak`` bits of least majority in each band."""
+    """``(digest, fingerprints, masks)``: a mask has the ``weak`` bits of least majority in each band.
+
+    Shingles that repeat count once, as in ``shingle_set``.
+    """
     tokens = text.lower().split()
     joined = b" ".join(tokens)
     digest = xxhash.xxh3_64_intdigest(joined, seed=7)
     if not tokens:
         return digest, [0] * prints, [0] * prints
     ends = list(accumulate(len(t) + 1 for t in tokens))
-    n = max(1, len(tokens) - words + 1)
     starts = [0, *ends]
     stops = [*ends[words - 1 :]] if len(tokens) >= words else [len(joined) + 1]
+    hashes = np.fromiter((xxhash.xxh64_intdigest(joined[i : j - 1], SEED) for i, j in zip(starts, stops, strict=False)), np.uint64, len(stops))
+    hashes, at = np.unique(hashes, return_index=True)
+    n = len(at)
     fps, masks = [], []
     for k in range(prints):
+        if k:
+            hashes = np.fromiter((xxhash.xxh64_intdigest(joined[starts[i] : stops[i] - 1], SEED + k) for i in at.tolist()), np.uint64, n)
         ones = np.zeros(64, np.int64)
         for lo in range(0, n, SHINGLES_AT_ONCE):
-            hi = min(n, lo + SHINGLES_AT_ONCE)
-            hashes = np.fromiter((xxhash.xxh64_intdigest(joined[i : j - 1], SEED + k) for i, j in zip(starts[lo:hi], stops[lo:hi], strict=True)), np.uint64, hi - lo)
-            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            ones += np.unpackbits(hashes[lo : lo + SHINGLES_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         margin = 2 * ones - n
         fps.append(int(np.packbits((margin > 0).astype(np.uint8), bitorder="little").view(np.uint64)[0]))
         mask = 0
