@@ -181,3 +181,18 @@ def test_texts_whose_lines_repeat_differently_have_one_sketch(spark):
     once, often, oftener = (simhash._sketch(t.encode(), 5, 2, 16, 4)[1:] for _, t in rows)
     assert once == often == oftener
     assert {r.component_id for r in simhash.similar_groups(frame(spark, rows)).collect()} == {0}
+
+
+def test_pairs_that_meet_do_not_depend_on_the_number_of_rows(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = []
+    for i in range(0, 300, 2):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(64)]
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w[:-6] + [f"v{k}" for k in rng.sample(range(10**9), 6)]))]
+    assert all(0.8 <= jaccard(rows[i][1], rows[i + 1][1]) < 0.83 for i in range(0, 300, 2))
+    docs = frame(spark, rows)
+    few = sorted((r.doc_id, r.component_id) for r in simhash.similar_groups(docs).collect())
+    monkeypatch.setattr(type(docs), "count", lambda self: 1 << 24)
+    many = sorted((r.doc_id, r.component_id) for r in simhash.similar_groups(docs).collect())
+    assert few == many
+    assert sum(i != c for i, c in few) >= 147

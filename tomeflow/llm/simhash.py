@@ -316,6 +316,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, group_li
 SIMILARITY = 0.8
 #: Bits that two prints of 64 may differ in and still be compared; 0.8 is at 19 of 128 on average, four deviations are 16 more.
 NEAR_BITS = 18
+#: Fingerprints of a text, bits of a band and bits of it that are turned; wider bands meet fewer of the pairs at the threshold.
+PRINTS, BAND_BITS, WEAK_BITS = 2, 16, 4
 ALL_PAIRS = 20_000
 #: Shingles of a cluster in one block.
 BLOCK = 1 << 19
@@ -563,16 +565,13 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, row_key, component_id)``: groups of documents linked at ``similarity`` over word shingles.
 
-    Copies of one sequence of words collapse first. Bands grow with the number of
-    texts, so that their keys stay selective, and with them the bits turned.
+    Copies of one sequence of words collapse first. The keys are the same for any
+    number of texts, and so are the pairs that meet.
     """
-    count = docs.count()
-    band_bits = 16 if count < 1 << 20 else 20 if count < 1 << 24 else 24
-    prints, weak = (2, 4) if band_bits == 16 else (3, band_bits // 4)
-    rows = cut(sketches(docs, words, prints, band_bits, weak))
+    rows = cut(sketches(docs, words, PRINTS, BAND_BITS, WEAK_BITS))
     named = rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
     classes = cut(rows.select("digest", "fp", "weak").dropDuplicates(["digest"]).join(named, "digest").select("digest", "id", "fp", "weak"))
-    pairs = by_key(banded(classes, band_bits, weak), "key", _candidates, "a long, b long", then=("probe", "id")).distinct()
+    pairs = by_key(banded(classes, BAND_BITS, WEAK_BITS), "key", _candidates, "a long, b long", then=("probe", "id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     comps = connected_components(verified(pairs, texts, words, similarity))
     group = classes.join(comps, classes.id == comps.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
