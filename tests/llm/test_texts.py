@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -192,3 +193,36 @@ def test_leaks_equal_brute_force_either_way(spark):
     assert kept.columns == rows.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows.collect()} - {d for d, _ in wanted}
     assert decontaminate.leaks(rows.limit(0), test).count() == decontaminate.leaks(rows, test.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("window", "similarity"), [(13, 0.8), (8, 0.8), (13, 0.6)])
+def test_every_placing_of_substitutions_is_found(window, similarity):
+    for n in range(5, 17):
+        size = min(window, n)
+        differ = max(k for k in range(size) if size - k >= similarity * size)
+        item = [f"w{i}" for i in range(n)]
+        seeds = decontaminate.Seeds([(0, " ".join(item))], window, similarity)
+        for at in range(n - size + 1):
+            for bad in combinations(range(at, at + size), min(differ, 3)):
+                text = ["x"] * 3 + [f"y{i}" if i in bad or not at <= i < at + size else w for i, w in enumerate(item)] + ["z"]
+                words = decontaminate.words_of(" ".join(text))
+                assert decontaminate.best_links(words, seeds.alignments(words), seeds.words, window, similarity), (n, at, bad)
+
+
+def test_substitutions_in_short_items_are_found_either_way(spark):
+    rng = random.Random(10)
+    items = [(n, [f"i{n}w{k}" for k in range(n)]) for n in range(5, 15)]
+    docs = []
+    for n, w in items:
+        for bad in [*combinations(range(n), 1), *rng.sample([*combinations(range(n), 2)], 10)]:
+            docs.append((len(docs), " ".join(["a", "b", *("x" if k in bad else v for k, v in enumerate(w)), "c"])))
+    wanted = set()
+    for d, t in docs:
+        w = t.split()
+        for i, v in items:
+            size = min(13, len(v))
+            if any(sum(w[a + k] == v[b + k] for k in range(size)) >= 0.8 * size for a in range(len(w) - size + 1) for b in range(len(v) - size + 1)):
+                wanted.add((d, i))
+    rows, test = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for limit in (decontaminate.SEED_LIMIT, 0):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(rows, test, seed_limit=limit).collect()} == wanted

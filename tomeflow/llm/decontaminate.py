@@ -7,9 +7,12 @@ minus test position), on which words are compared in place: a document leaks an
 item if some window of ``window`` aligned words (the whole item, if it is
 shorter) agrees in ``min_similarity`` of them.
 
-Items shorter than the longest mask meet under contiguous masks of their own
-length; items with under ``MIN_WORDS`` words are too short to be told from
-ordinary text and match nothing.
+The masks guarantee a hit: wherever the words that may differ stand in a window,
+some mask at some place in it has none of them under a 1. Windows of 13 words and
+more have ``MASKS``, shorter ones shorter masks, and windows with more differing
+words than these allow meet under the longest run of words that must agree. Items
+with under ``MIN_WORDS`` words are too short to be told from ordinary text and
+match nothing.
 
 The test seeds are broadcast if they are at most ``seed_limit``; beyond that
 the seeds of all documents are shuffled and joined (``links`` the same).
@@ -33,8 +36,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tomeflow.llm.common import keep_rows, row_key
 
-#: Fixed masks: 1s are hashed, 0s may differ.
-MASKS = ("11101101", "1101001110011", "110010100111011")
+#: Fixed masks: 1s are hashed, 0s may differ. These hit any 13 words of which two differ.
+MASKS = ("11101101", "1101001110011", "110010100111011", "1110100111")
+#: These hit any 6 words of which one differs and any 10 of which two do; with ``FIVE`` any 5 of which one does.
+SHORT = ("1111", "11011")
+FIVE = ("10111", "11101")
 LONGEST = max(map(len, MASKS))
 MIN_WORDS = 5
 WINDOW = 13
@@ -66,11 +72,17 @@ def seeds_of(words: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
-def masks_for(n: int) -> tuple[str, ...]:
-    """Masks of an item with ``n`` words."""
-    if n >= LONGEST:
-        return MASKS
-    return ("1" * n, *(m for m in MASKS if len(m) <= n)) if n >= MIN_WORDS else ()
+def masks_for(n: int, window: int = WINDOW, min_similarity: float = MIN_SIMILARITY) -> tuple[str, ...]:
+    """Masks of an item with ``n`` words, one of which hits each window that passes."""
+    if n < MIN_WORDS:
+        return ()
+    size = min(window, n)
+    differ = sum(size - k >= min_similarity * size for k in range(1, size))
+    if size >= 13 and differ <= 2:
+        return tuple(m for m in MASKS if len(m) <= n)
+    if differ <= (2 if size >= 10 else 1 if size >= 5 else -1):
+        return SHORT if size > 5 else SHORT + FIVE
+    return ("1" * -(-(size - differ) // (differ + 1)),)
 
 
 def aligned(doc: np.ndarray, item: np.ndarray, shift: int, window: int, min_similarity: float) -> tuple[int, int, int] | None:
@@ -92,12 +104,12 @@ def aligned(doc: np.ndarray, item: np.ndarray, shift: int, window: int, min_simi
 class Seeds:
     """The test seeds, sorted, with a bitmap in front."""
 
-    def __init__(self, items: list[tuple[object, str | None]]) -> None:
+    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW, min_similarity: float = MIN_SIMILARITY) -> None:
         self.ids = [i for i, _ in items]
         self.words = [words_of(t) for _, t in items]
         seeds, item, at, masks = [], [], [], []
         for k, w in enumerate(self.words):
-            for m in masks_for(len(w)):
+            for m in masks_for(len(w), window, min_similarity):
                 s = seeds_of(w, m)
                 seeds.append(s)
                 item.append(np.full(len(s), k))
@@ -159,7 +171,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_simil
     schema = _LINKS.format(doc=docs.schema["doc_id"].dataType.simpleString(), item=benchmark.schema["item_id"].dataType.simpleString())
     words = items.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] or 0
     count = items.count()
-    small = words * (len(MASKS) + 1) <= seed_limit and count <= seed_limit
+    small = words * len(MASKS) <= seed_limit and count <= seed_limit
     out = _leaks_by_broadcast(rows, items, schema, window, min_similarity) if small else _leaks_by_join(rows, items, schema, window, min_similarity)
     return out.distinct()
 
@@ -170,7 +182,7 @@ def _leaks_by_broadcast(docs: DataFrame, items: DataFrame, schema: str, window:
     kinds = [to_arrow_type(docs.schema["doc_id"].dataType), to_arrow_type(items.schema["item_id"].dataType), *[pa.int64()] * 6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = cache.get("seeds") or cache.setdefault("seeds", Seeds(sent.value))
+        seeds = cache.get("seeds") or cache.setdefault("seeds", Seeds(sent.value, window, min_similarity))
         for b in batches:
             found = []
             ids, keys = b.column(0), b.column(2)
@@ -187,14 +199,15 @@ def _leaks_by_broadcast(docs: DataFrame, items: DataFrame, schema: str, window:
 
 def _leaks_by_join(docs: DataFrame, items: DataFrame, schema: str, window: int, min_similarity: float) -> DataFrame:
     """The same links where the test seeds are too many to broadcast."""
+    every = sorted({m for n in range(MIN_WORDS, max(LONGEST, window) + 1) for m in masks_for(n, window, min_similarity)})
     keyed = items.select("item_id", "text", F.xxhash64("item_id", "text").alias("item_key"))
 
-    def seed_rows(short_only: bool):
+    def seed_rows(of_items: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for key, text in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True):
                     words = words_of(text)
-                    masks = masks_for(len(words)) if short_only else (*MASKS, *("1" * n for n in range(MIN_WORDS, LONGEST)))
+                    masks = masks_for(len(words), window, min_similarity) if of_items else every
                     for m in masks:
                         s = seeds_of(words, m)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), key)), pa.array(np.arange(len(s))), pa.array(s.view(np.int64))], names=["key", "at", "seed"])
