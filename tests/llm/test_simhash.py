@@ -196,3 +196,12 @@ def test_pairs_that_meet_do_not_depend_on_the_number_of_rows(spark, monkeypatch)
     many = sorted((r.doc_id, r.component_id) for r in simhash.similar_groups(docs).collect())
     assert few == many
     assert sum(i != c for i, c in few) >= 147
+
+
+def test_links_of_many_keys_leave_a_task_as_a_forest():
+    n, keys = 50, 3
+    zero = np.zeros(n * keys, np.int64)
+    group = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(keys), n)), pa.array(zero.astype(np.int32)), pa.array(np.tile(np.arange(n), keys)), pa.array(zero), pa.array(zero)], names=["key", "probe", "id", "p0", "p1"])
+    pieces = [group.slice(i, n) for i in range(0, n * keys, n)]
+    pairs = [p for b in simhash._candidates(iter(pieces)) for p in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+    assert sorted(pairs) == [(0, i) for i in range(1, n)]

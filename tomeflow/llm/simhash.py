@@ -319,6 +319,8 @@ NEAR_BITS = 18
 #: Fingerprints of a text, bits of a band and bits of it that are turned; wider bands meet fewer of the pairs at the threshold.
 PRINTS, BAND_BITS, WEAK_BITS = 2, 16, 4
 ALL_PAIRS = 20_000
+#: Links that a task holds before it thins them out.
+FOREST_AT = 1 << 20
 #: Shingles of a cluster in one block.
 BLOCK = 1 << 19
 
@@ -442,8 +444,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Rows come sorted by key, own ones first, then id. In a group of over
     ``ALL_PAIRS`` comparisons a row that is reached leaves the rest at once, but
     is held against all that are not reached yet; only what is connected already
-    is not compared, and ``verified`` compares that in full.
+    is not compared, and ``verified`` compares that in full. Links of many keys
+    are thinned to a forest with the same components before they leave the task.
     """
+    held, n_held = [], 0
     for rows in sorted_groups(batches, "key"):
         rows = rows.combine_chunks()
         key, probe, ids = (np.asarray(rows.column(c)) for c in ("key", "probe", "id"))
@@ -480,9 +484,22 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(least, root, ids)
         pairs = np.stack([least[root], ids])
-        pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
-        if pairs.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        held.append(pairs[:, pairs[0] != pairs[1]])
+        n_held += held[-1].shape[1]
+        if n_held > FOREST_AT:
+            yield _forest(held)
+            held, n_held = [], 0
+    if n_held:
+        yield _forest(held)
+
+
+def _forest(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    """Links from the least id of each component of ``pairs`` to its others."""
+    ids, at = np.unique(np.concatenate(pairs, axis=1), return_inverse=True)
+    at = at.reshape(2, -1)
+    root = _roots(len(ids), at[0], at[1])
+    rest = root != np.arange(len(ids))
+    return pa.RecordBatch.from_arrays([pa.array(ids[root[rest]]), pa.array(ids[rest])], names=["a", "b"])
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
