@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,6 +18,11 @@ SHORT_LINE, VERTICAL_SHARE = 2, 0.65
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
@@ -84,9 +90,8 @@ def overlap_tail(text: Column, size: int) -> Column:
     """Up to ``size`` last characters, from the first line that starts within them."""
     if size <= 0:
         return F.lit("")
-    tail = strip(F.substring(text, F.greatest(F.length(text) - size, F.lit(0)) + 1, F.lit(size)))
-    at = F.locate("\n", tail)
-    return F.when(at > 1, strip(F.substring(tail, at + 1, F.length(tail)))).otherwise(tail)
+    end = strip(F.substring(text, F.greatest(F.length(text) - size, F.lit(0)) + 1, F.lit(size)))
+    return bind(end, lambda tail: F.when(F.locate("\n", tail) > 1, strip(F.substring(tail, F.locate("\n", tail) + 1, F.length(tail)))).otherwise(tail))
 
 
 def _heading_text(line: Column) -> Column:

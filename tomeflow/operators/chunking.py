@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeflow.functions.text import normalize_text, overlap_tail, strip
+from tomeflow.functions.text import bind, normalize_text, overlap_tail, strip
 
 CHUNK_CHARS, OVERLAP_CHARS = 1800, 240
 #: Tokens tile a normalized text: a block and the line feeds after it.
@@ -30,17 +30,23 @@ def tokens(normalized: Column) -> Column:
     return F.regexp_extract_all(normalized, F.lit(_BLOCK), F.lit(0))
 
 
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda total, n: total + n)
+
+
+def starts(lengths: Column, width: int = 64) -> Column:
+    """Sum of the lengths before each one; groups of ``width`` are summed first, so the work grows with the array."""
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(lengths) - 1) / width).cast("int"), F.lit(0))), lambda g: F.slice(lengths, g * width + 1, width))
+    before = F.aggregate(groups, F.array(F.lit(0)), lambda done, g: F.concat(done, F.array(F.element_at(done, -1) + _sum(g))))
+    return F.flatten(F.zip_with(groups, F.slice(before, F.lit(1), F.size(before) - 1), lambda g, at: F.transform(g, lambda _, i: at + _sum(F.slice(g, F.lit(1), i)))))
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """``(doc_id, block_no, start, block)``: paragraphs with their place in the normalized text."""
     tiles = docs.select("doc_id", tokens(normalize_text(F.col("text"))).alias("tiles"))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PIECE}>").alias("out"))
-
-    def place(s: Column, tile: Column) -> Column:
-        piece = F.struct(s["at"].alias("start"), strip(tile).alias("text"))
-        return F.struct((s["at"] + F.length(tile)).alias("at"), F.concat(s["out"], F.array(piece)).alias("out"))
-
-    placed = tiles.select("doc_id", F.posexplode(F.aggregate("tiles", state, place, lambda s: s["out"])).alias("n", "b"))
-    return placed.select("doc_id", (F.col("n") + 1).alias("block_no"), F.col("b.start").alias("start"), F.col("b.text").alias("block"))
+    measured = tiles.withColumn("starts", starts(F.transform("tiles", F.length)))
+    placed = measured.select("doc_id", F.posexplode(F.arrays_zip("tiles", "starts")).alias("n", "b"))
+    return placed.select("doc_id", (F.col("n") + 1).alias("block_no"), F.col("b.starts").alias("start"), strip(F.col("b.tiles")).alias("block"))
 
 
 def windows(text: Column, start: Column, size: int, overlap: int) -> Column:
@@ -59,18 +65,22 @@ def pieces(text: Column, chunk_chars: int, overlap_chars: int) -> Column:
     def flushed(s: Column) -> Column:
         return F.when(s["cur"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["cur_start"].alias("start"), s["cur"].alias("text")))))
 
+    def continued(s: Column, tile: Column, tail: Column) -> Column:
+        text = F.when(tail == "", tile["part"]).otherwise(F.concat(tail, F.lit("\n\n"), tile["part"]))
+        begin = F.when(tail == "", s["at"]).otherwise(F.greatest(s["at"] - F.length(tail) - 2, F.lit(0)))
+        return F.struct((s["at"] + tile["size"]).alias("at"), text.alias("cur"), begin.alias("cur_start"), flushed(s).alias("out"))
+
     def step(s: Column, tile: Column) -> Column:
-        part = strip(tile)
-        after = (s["at"] + F.length(tile)).alias("at")
-        tail = overlap_tail(s["cur"], overlap_chars)
-        too_long = F.length(part) > chunk_chars
-        full = (s["cur"] != "") & (F.length(s["cur"]) + 2 + F.length(part) > chunk_chars)
+        part, after = tile["part"], (s["at"] + tile["size"]).alias("at")
+        too_long = tile["length"] > chunk_chars
+        full = (s["cur"] != "") & (F.length(s["cur"]) + 2 + tile["length"] > chunk_chars)
         cut = F.struct(after, F.lit("").alias("cur"), F.lit(0).alias("cur_start"), F.concat(flushed(s), windows(part, s["at"], chunk_chars, overlap_chars)).alias("out"))
-        new = F.struct(after, F.when(tail == "", part).otherwise(F.concat(tail, F.lit("\n\n"), part)).alias("cur"), F.when(tail == "", s["at"]).otherwise(F.greatest(s["at"] - F.length(tail) - 2, F.lit(0))).alias("cur_start"), flushed(s).alias("out"))
+        new = bind(overlap_tail(s["cur"], overlap_chars), lambda tail: continued(s, tile, tail))
         more = F.struct(after, F.when(s["cur"] == "", part).otherwise(F.concat(s["cur"], F.lit("\n\n"), part)).alias("cur"), F.when(s["cur"] == "", s["at"]).otherwise(s["cur_start"]).alias("cur_start"), s["out"].alias("out"))
         return F.when(too_long, cut).when(full, new).otherwise(more)
 
-    return F.aggregate(tokens(normalize_text(text)), state, step, flushed)
+    tiles = F.transform(tokens(normalize_text(text)), lambda t: bind(strip(t), lambda part: F.struct(part.alias("part"), F.length(part).alias("length"), F.length(t).alias("size"))))
+    return F.aggregate(tiles, state, step, flushed)
 
 
 def make_chunks(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:

@@ -1,7 +1,8 @@
 """Lexical retrieval (Okapi BM25) of chunks and documents for questions.
 
 Chunks are reduced to the questions' terms before anything is shuffled; the
-terms are broadcast while they are few, and joined by shuffle beyond that.
+terms are broadcast while they are few (``BROADCAST_TERMS``), and joined by
+shuffle beyond that.
 """
 
 from __future__ import annotations
@@ -18,6 +19,12 @@ DIGITS = 4
 BROADCAST_TERMS = 200_000
 
 
+def small_side(rows: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+    """``rows``, marked for broadcast if they are at most ``limit``, and whether they are."""
+    few = rows.limit(limit + 1).count() <= limit
+    return (F.broadcast(rows) if few else rows), few
+
+
 def question_terms(questions: DataFrame) -> DataFrame:
     """``(qid, term)`` of ``questions (qid, question, options)``, distinct."""
     return questions.select("qid", F.explode(F.array_distinct(tokenize(query_text(F.col("question"), F.col("options"))))).alias("term"))
@@ -29,29 +36,36 @@ def search(questions: DataFrame, chunks: DataFrame, top_k: int = TOP_K, allowed:
     ``allowed (qid, doc_id)`` restricts a question to its documents; questions
     that it doesn't name stay free. Frequencies are those of all ``chunks``. Ties
     go by chunk id.
+
+    The chunks are made once for the terms that questions have, a row a chunk;
+    document frequencies and scores read that one exchange, and no shuffle is keyed
+    on a term. The best of each partition are taken before the best of all; only
+    documents that have one are chunked again for their columns.
     """
     terms = question_terms(questions)
-    words = chunks.select("chunk_id", "doc_id", tokenize(F.col("text")).alias("words")).withColumn("size", F.size("words"))
-    stats = words.agg(F.count("*"), F.avg("size")).first()
-    total, mean = float(stats[0]), float(stats[1] or 0) or 1.0
-    wanted = terms.select("term").distinct()
-    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    found = words.select("chunk_id", "doc_id", "size", F.explode("words").alias("term")).join(wanted, "term", "left_semi")
-    postings = found.groupBy("term", "chunk_id", "doc_id", "size").agg(F.count("*").alias("tf"))
-    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean)))
-    weights = frequencies.select("term", "df").join(terms, "term")
-    hits = postings.join(weights, "term").withColumn("part", part)
+    counter = terms.sparkSession.createDataFrame([("",)], "term string")  # a term that each chunk has once
+    wanted, few = small_side(terms.select("term").unionByName(counter).distinct(), BROADCAST_TERMS)
+    words = chunks.select(F.struct("chunk_id", "doc_id").alias("chunk"), tokenize(F.col("text")).alias("words"))
+    said = words.select("chunk", F.size("words").alias("size"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("term"))
+    said = said.join(wanted, "term", "left_semi").groupBy("chunk", "size").agg(F.collect_list("term").alias("terms"))
+    postings = said.select("chunk", "size", F.explode_outer("terms").alias("term")).groupBy("chunk", "size", "term").agg(F.count("*").alias("tf"))
+    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("size").alias("sizes"))
+    counted = F.max(F.when(F.col("term") == "", F.col("df")))
+    total = frequencies.agg(counted.alias("total"), (F.max(F.when(F.col("term") == "", F.col("sizes"))) / counted).alias("mean"))
+    asked = frequencies.select("term", "df").join(terms.groupBy("term").agg(F.collect_list("qid").alias("qids")), "term")
+    asked = asked.crossJoin(F.broadcast(total)).withColumn("mean", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0))
+    idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    hits = postings.join(F.broadcast(asked) if few else asked, "term").select("chunk", "size", part.alias("part"), F.explode("qids").alias("qid"))
+    scored = hits.groupBy("qid", "chunk", "size").agg(F.round(F.sum("part"), DIGITS).alias("score")).select("qid", "chunk.*", "score")
     if allowed is not None:
         named = allowed.select("qid").distinct().withColumn("named", F.lit(True))
         may = allowed.select("qid", F.col("doc_id").cast("string").alias("doc_id")).distinct().withColumn("may", F.lit(True))
-        hits = hits.join(named, "qid", "left").join(may, ["qid", "doc_id"], "left").where("named is null or may")
-    scored = hits.groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+        scored = scored.join(named, "qid", "left").join(may, ["qid", "doc_id"], "left").where("named is null or may")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= top_k)
-    return best.join(chunks, "chunk_id").select("qid", "rank", "score", *chunks.columns)
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= top_k).select("qid", "rank", "score", "chunk_id", "doc_id")
+    texts = chunks.join(best.select("doc_id").distinct(), "doc_id", "left_semi")
+    return best.join(texts, ["chunk_id", "doc_id"]).select("qid", "rank", "score", *chunks.columns)
 
 
 def candidate_docs(hits: DataFrame, limit: int = CANDIDATE_DOCS) -> DataFrame:
