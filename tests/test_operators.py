@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tomeflow.operators import catalog, parses, retrieval, scoring
 from tomeflow.plans import answering, datasets, preprocess
+from tomeflow.schemas import DOMAINS
 from tomeflow.sources import readers, runners, writers
 from tomeflow.streaming import incremental
 
@@ -42,12 +43,12 @@ def test_todo_and_latest(spark):
 
 
 def test_retrieval_ranks_matching_terms_first(spark):
-    chunks = spark.createDataFrame([("d1::1", "d1", "保险条款", "insurance", "身故保险金 等于 已交保费 与 现金价值 较大者", 0, 20), ("d2::1", "d2", "年报", "financial_reports", "研发投入 占 营业收入 比例 下降", 0, 20)], "chunk_id string, doc_id string, title string, domain string, text string, start int, end int")
-    asked = spark.createDataFrame([("q1", "研发投入占营业收入的比例是否下降？", {"A": "下降", "B": "上升"}, "mcq", [])], "qid string, question string, options map<string,string>, answer_format string, doc_ids array<string>")
+    chunks = spark.createDataFrame([("h::1", "h", "harbour", "x", "cranes lift 货箱 from the quay", 0, 20), ("l::1", "l", "lamps", "y", "the 灯塔 高度 is forty fathoms", 0, 20)], "chunk_id string, doc_id string, title string, domain string, text string, start int, end int")
+    asked = spark.createDataFrame([("q1", "灯塔高度多少 fathoms?", {"A": "ten", "B": "forty"}, "mcq", [])], "qid string, question string, options map<string,string>, answer_format string, doc_ids array<string>")
     hits = retrieval.search(asked, chunks, 1)
-    assert [r.doc_id for r in hits.collect()] == ["d2"]
-    assert retrieval.search(asked, chunks, 8, spark.createDataFrame([("q1", "d1")], "qid string, doc_id string")).count() == 0
-    assert [r.doc_id for r in retrieval.candidate_docs(hits).collect()] == ["d2"]
+    assert [r.doc_id for r in hits.collect()] == ["l"]
+    assert retrieval.search(asked, chunks, 8, spark.createDataFrame([("q1", "h")], "qid string, doc_id string")).count() == 0
+    assert [r.doc_id for r in retrieval.candidate_docs(hits).collect()] == ["l"]
     assert retrieval.evidence(hits, 3).count() == 0
     client = lambda: lambda system, prompt: {"content": 'So {"answer": "A"}', "prompt_tokens": len(prompt), "completion_tokens": 2}
     answers, kept = answering.answer(asked, chunks, client)
@@ -94,11 +95,11 @@ def _question(qid, domain, ids, **more):
 
 
 def test_build_datasets(spark, tmp_path):
-    for name in ("insurance/1.pdf", "regulatory/〔2025〕第12号(x).PDF", "insurance/.hidden.pdf"):
+    for name in ("insurance/1.pdf", "regulatory/【7】港务(b).PDF", "insurance/.hidden.pdf"):
         path = tmp_path / "raw" / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(b"x")
-    files = {"regulatory": _questions(tmp_path, "regulatory", [_question("r1", "regulatory", ["〔2025〕第12号(x)"])]), "insurance": _questions(tmp_path, "insurance", [_question("i1", "insurance", ["1", "1"]), _question("i2", "insurance", [])])}
+    files = {"regulatory": _questions(tmp_path, "regulatory", [_question("r1", "regulatory", ["【7】港务(b)"])]), "insurance": _questions(tmp_path, "insurance", [_question("i1", "insurance", ["1", "1"]), _question("i2", "insurance", [])])}
     report = datasets.run(spark, files, str(tmp_path / "raw"), str(tmp_path / "out"))
     assert {(r.domain, r.answer_format): r.n for r in report["questions"]} == {("insurance", None): 2, ("regulatory", None): 1, (None, "tf"): 3}
     assert [r.n for r in report["documents"]] == [1, 1, 0, 0, 0]
@@ -107,7 +108,7 @@ def test_build_datasets(spark, tmp_path):
     assert asked[0].options == {"A": "正确", "B": "错误"}
     assert (asked[0].split, asked[0].qtype) == ("A", "t")
     docs = readers.read_documents(spark, str(tmp_path / "out/documents.jsonl")).collect()
-    assert [r.path for r in docs] == ["raw/1.pdf", "raw/〔2025〕第12号(x).PDF"]
+    assert [r.path for r in docs] == ["raw/1.pdf", "raw/【7】港务(b).PDF"]
     bad = {"insurance": _questions(tmp_path, "insurance", [_question("i1", "research", ["none"], answer_format="essay"), _question("i1", "insurance", [])])}
     with pytest.raises(catalog.InvalidCatalog, match="duplicate qid.*unknown answer_format") as e:
         catalog.validated_questions(readers.read_question_files(spark, bad))
@@ -159,6 +160,13 @@ def test_preprocess(spark, tmp_path):
     assert got == {"1": ("标题", "# 标题\n内容"), "2": ("T", "x"), "9": ("H", "## H\nbody")}
     assert readers.read_chunks(spark, str(tmp_path / "out/chunks.jsonl")).count() == 3
     assert [r.doc_id for r in readers.discover_pdfs(spark, [str(raw)]).collect()] == ["9"]
+    for folder in ("m", "n"):  # equal names in two folders
+        (raw / folder).mkdir()
+        (raw / folder / "1.txt").write_text(f"of {folder}")
+    two = spark.createDataFrame([(f, f"raw/{f}/1.txt", "", "") for f in ("m", "n")], "doc_id string, path string, title string, domain string")
+    data = str(tmp_path / "data")
+    parsed = preprocess.parse_documents(two, readers.read_plain(spark, f"{data}/raw"), readers.read_html(spark, f"{data}/raw"), readers.read_parses(spark, str(tmp_path / "parsed")), preprocess.qualified(spark, data))
+    assert sorted((r.doc_id, r.text) for r in parsed.collect()) == [("m", "of m"), ("n", "of n")]
     with pytest.raises(Exception, match="unsupported file type"):
         spark.createDataFrame([("x.doc",)], "path string").select(catalog.source_kind(F.col("path"))).collect()
 
@@ -185,6 +193,92 @@ def test_runner_errors_are_rows(spark):
         runners.parse_files(files, "nothing")
 
 
+class Pages:
+    def parse(self, content):
+        return ["", "tide\n\nrose", "  ", "h\na\nr\nb\no\nu\nr"] if content == b"full" else ["", " "]
+
+
+def test_pages_of_a_text_layer(spark):
+    runners.register("paged", Pages)
+    files = spark.createDataFrame([("1", "1.pdf", bytearray(b"full")), ("2", "2.pdf", bytearray(b"none"))], "doc_id string, path string, content binary")
+    got = {r.doc_id: r for r in runners.parse_files(files, "paged").collect()}
+    assert got["1"].text == "<!-- page:1 -->\n\ntide\nrose\n\n<!-- page:2 -->\n\nharbour"
+    assert (got["1"].page_count, got["1"].blank_pages) == (4, [1, 3])
+    assert (got["2"].ok, got["2"].error, got["2"].blank_pages) == (False, "ValueError: no text", [1, 2])
+
+
+def test_split_pages(spark):
+    files = spark.createDataFrame([("1", "1.pdf", bytearray(b"ab")), ("2", "2.pdf", bytearray(b""))], "doc_id string, path string, content binary")
+    made = runners.split_pages(files, lambda: lambda content: [content[i : i + 1] for i in range(len(content))] if content else 1 / 0).collect()
+    assert [(r.doc_id, r.page, r.content) for r in made] == [("1", 1, bytearray(b"a")), ("1", 2, bytearray(b"b")), ("2", 0, None)]
+    assert made[2].error.startswith("ZeroDivisionError")
+
+
+def test_parses_as_files(spark, tmp_path):
+    runners.register("paged", Pages)
+    made = spark.createDataFrame([("1", "1.pdf", bytearray(b"none"))], "doc_id string, path string, content binary")
+    root = str(tmp_path / "p")
+    writers.write_parses(runners.parse_files(made, "paged"), root).collect()
+    folder = tmp_path / "p" / "paged"
+    assert (folder / "1.error.txt").read_text() == "ValueError: no text\n"
+    assert json.loads((folder / "1.meta.json").read_text())["ok"] is False
+    good = made.withColumn("content", F.lit(b"full"))
+    written = writers.write_parses(runners.parse_files(good, "paged"), root).collect()
+    assert [(r.ok, r.markdown_path) for r in written] == [(True, str(folder / "1.md"))]
+    assert sorted(p.name for p in folder.iterdir()) == ["1.md", "1.meta.json"]
+    meta = json.loads((folder / "1.meta.json").read_text())
+    assert (meta["pages"], meta["blank_pages"]) == (4, [1, 3])
+    assert readers.read_parses(spark, root).first().text.endswith("harbour\n")
+    page = spark.createDataFrame([("1", 7, "x")], "doc_id string, page int, text string")
+    assert (writers.write_page_texts(page, root).first().path, (tmp_path / "p/1/pages_text/page_0007.txt").read_text()) == (f"{root}/1/pages_text/page_0007.txt", "x\n")
+
+
+def test_staging_copies_what_differs_in_size(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"abc")
+    rows = spark.createDataFrame([("a", "raw/a.pdf", str(tmp_path / "a.pdf"))], "doc_id string, path string, source string")
+    assert [writers.stage_files(rows, str(tmp_path / "out")).first().copied for _ in range(2)] == [True, False]
+    (tmp_path / "out/raw/a.pdf").write_bytes(b"longer")
+    assert writers.stage_files(rows, str(tmp_path / "out")).first().copied
+    assert (tmp_path / "out/raw/a.pdf").read_bytes() == b"abc"
+
+
+def test_commands(tmp_path):
+    made = runners.CommandRunner(["sh", "-c", "cp {input} {output}/8_10.md; echo first > {output}/8_2.md"])
+    assert made.parse(b"second") == "first\n\nsecond"
+    walked = runners.CommandRunner(["sh", "-c", "printf '{{\"a\": [{{\"md\": \"x\"}}]}}' > {output}/1.json"])
+    assert walked.parse(b"") == "x"
+    with pytest.raises(RuntimeError, match="exit 3: bad"):
+        runners.CommandRunner(["sh", "-c", "echo bad >&2; exit 3"]).parse(b"")
+    assert runners.settings(["a=b=c"]) == {"a": "b=c"}
+    for wrong in ("a", "=b", "a="):
+        with pytest.raises(ValueError, match="KEY=VALUE"):
+            runners.settings([wrong])
+
+
+def test_jobs_from_a_shell(spark, tmp_path, capsys):
+    from tomeflow import __main__ as jobs
+
+    for domain in DOMAINS:
+        (tmp_path / "raw" / domain).mkdir(parents=True)
+        _questions(tmp_path, domain, [_question(f"{domain}1", domain, ["only"])] if domain == "insurance" else [])
+    (tmp_path / "raw/insurance/only.txt").write_text("Piers close at noon.")
+    data, done = str(tmp_path / "data"), str(tmp_path / "processed")
+    (tmp_path / "parsed/pypdf").mkdir(parents=True)
+    (tmp_path / "parsed/pypdf/x.md").write_text("x")
+    assert jobs.main(["build-datasets", "--questions-dir", str(tmp_path), "--raw-root", str(tmp_path / "raw"), "--out-dir", data]) == 0
+    assert (tmp_path / "data/raw/only.txt").read_text() == "Piers close at noon."
+    assert jobs.main(["preprocess", "--data-dir", data, "--parsed-dir", str(tmp_path / "parsed"), "--processed-dir", done]) == 0
+    (tmp_path / "config.json").write_text(json.dumps({"data_dir": data, "processed_dir": done, "submission_dir": str(tmp_path / "sub")}))
+    (tmp_path / "raw/insurance/9.pdf").write_bytes(b"%PDF nine")
+    parse = ["parse", str(tmp_path / "raw"), "--models", "glm-ocr", "--out-root", str(tmp_path / "parsed"), "--command", "cp {input} {output}/1.md"]
+    assert [jobs.main(parse) for _ in range(2)] == [0, 0]
+    assert (tmp_path / "parsed/glm-ocr/9.md").read_text() == "%PDF nine\n"
+    said = capsys.readouterr().out
+    assert "'documents': 1" in said
+    assert "glm-ocr {'ok': 1}\nglm-ocr {}" in said
+    assert jobs.main(["preview", "--root", str(tmp_path)]) == 0
+
+
 def test_config(tmp_path):
     (tmp_path / "c.json").write_text('{"top_k": 3, "data_dir": "d"}')
     made = readers.Config.load(tmp_path, tmp_path / "c.json")

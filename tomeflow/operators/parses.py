@@ -58,6 +58,11 @@ def concat_pages(pages: DataFrame) -> DataFrame:
     return _joined(pages, "doc_id", F.struct(natural_key(F.col("path")), F.col("path")), strip(F.coalesce("text", F.lit(""))))
 
 
+def marked_pages(pages: Column) -> Column:
+    """An array of pages as one text, each under a marker with its place."""
+    return F.array_join(F.transform(pages, lambda p, i: F.concat(F.lit("<!-- page:"), (i + 1).cast("string"), F.lit(" -->\n\n"), p)), "\n\n")
+
+
 def mark_pages(pages: DataFrame, physical: bool = False) -> DataFrame:
     """``(doc_id, text)`` of ``(doc_id, page, text)``, each page under a marker with its number.
 
@@ -71,8 +76,7 @@ def mark_pages(pages: DataFrame, physical: bool = False) -> DataFrame:
         marked = F.concat(F.lit("<!-- page:"), F.col("no").cast("string"), F.lit(" -->\n\n"), F.col("md"))
         return _joined(rows, "doc_id", F.col("page"), marked)
     listed = F.array_sort(F.collect_list(F.struct("page", "md")))
-    marked = F.transform(listed, lambda x, i: F.concat(F.lit("<!-- page:"), (i + 1).cast("string"), F.lit(" -->\n\n"), x["md"]))
-    return rows.groupBy("doc_id").agg(F.array_join(marked, "\n\n").alias("text"))
+    return rows.groupBy("doc_id").agg(marked_pages(F.transform(listed, lambda x: x["md"])).alias("text"))
 
 
 def page_report(pages: DataFrame) -> DataFrame:
