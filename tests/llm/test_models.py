@@ -58,6 +58,31 @@ def test_mixed_keeps_the_columns(spark):
     assert out.where("text is null").count() == 0
 
 
+def ids_of(rows):
+    return Counter((r.doc_id, r.pass_no, r.slot) for r in rows)
+
+
+@pytest.mark.parametrize("budget", [300, 777, 2000])
+def test_mixed_has_the_draws_of_the_plan(spark, budget):
+    """Repeated ids, null ids, repeated rows and clashing names; blocks are few, so some are taken in part."""
+    rows = [(i % 40 if i % 5 else None, "w " * (1 + i % 9), "a" if i % 4 else None, i, "x") for i in range(300)]
+    docs = spark.createDataFrame([*rows, *[(7, "same same", "a", 0, "x")] * 30, (8, "word " * 5000, "b", 0, "x")], "doc_id long, text string, source string, slot int, pass_no string")
+    plan = mixing.plan(docs, budget=budget, blocks=3).collect()
+    out = mixing.mixed(docs, budget=budget, blocks=3)
+    assert out.columns == ["doc_id", "text", "source", "slot", "pass_no", "_pass_no", "block_rank", "_slot", "order_key"]
+    assert ids_of(plan) == Counter((r.doc_id, r._pass_no, r._slot) for r in out.collect())
+    assert sum(r.tokens for r in plan) == sum(len(r.text.split()) for r in out.collect()) <= budget
+
+
+def test_a_repetition_limit_that_cannot_be_met_is_an_error(spark):
+    with pytest.raises(ValueError, match="passes"):
+        mixing.plan(sources(spark), budget=60_000, max_repeats=2)
+    one = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="passes"):
+        mixing.plan(one, budget=20, max_repeats=3)
+    assert mixing.plan(one, budget=20, max_repeats=10).count() == 10
+
+
 # --- n-gram model ---
 
 

@@ -9,6 +9,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -22,12 +23,16 @@ SLICE_BYTES = 4 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; set a folder only where none is configured."""
+    """Use ``spark.checkpoint.dir``; only a local session that names none gets a folder of this machine."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "tomeflow-checkpoints"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "tomeflow-checkpoints")
+    context.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -100,7 +105,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Large-star and small-star rounds: each round is an aggregation that combines
     on the map side and an equi-join that AQE may split, so that a hub of any
-    degree is never gathered in one task. Nulls and self-loops are ignored.
+    degree is never gathered in one task. Nulls and self-loops are ignored. An
+    error if ``max_rounds`` don't settle it.
     """
     e = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi is not null and lo is not null and hi > lo").distinct()
     e = cut(e)
@@ -116,6 +122,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     nodes = e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return nodes.unionByName(roots)
@@ -131,8 +139,9 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def row_key() -> Column:
-    """Key of a document's row by id and text; null ids and repeated ids stay apart."""
-    return F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))
+    """128-bit key of a document's row by id and text; null ids and repeated ids stay apart, null text is as empty."""
+    doc_id = F.col("doc_id").cast("string")
+    return F.md5(F.concat_ws("|", F.when(doc_id.isNull(), "n").otherwise("i"), doc_id, F.col("text").cast("string")).cast("binary"))
 
 
 def keep_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:

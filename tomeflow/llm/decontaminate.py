@@ -156,7 +156,7 @@ def best_links(words: np.ndarray, proposed: list[tuple[int, int, int]], items: l
     return out
 
 
-_LINKS = "doc_id {doc}, item_id {item}, row_key long, seed_hits long, matched_words long, item_words long, start_word long, end_word long"
+_LINKS = "doc_id {doc}, item_id {item}, row_key string, seed_hits long, matched_words long, item_words long, start_word long, end_word long"
 
 
 def _rows(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -179,7 +179,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_simil
 def _leaks_by_broadcast(docs: DataFrame, items: DataFrame, schema: str, window: int, min_similarity: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
     cache: dict = {}
-    kinds = [to_arrow_type(docs.schema["doc_id"].dataType), to_arrow_type(items.schema["item_id"].dataType), *[pa.int64()] * 6]
+    kinds = [to_arrow_type(docs.schema["doc_id"].dataType), to_arrow_type(items.schema["item_id"].dataType), pa.string(), *[pa.int64()] * 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = cache.get("seeds") or cache.setdefault("seeds", Seeds(sent.value, window, min_similarity))
@@ -230,7 +230,7 @@ def _leaks_by_join(docs: DataFrame, items: DataFrame, schema: str, window: int,
                 if got:
                     found.append((ids[i].as_py(), item_ids[i].as_py(), keys[i].as_py(), got[0], got[1], len(item), got[2], got[3]))
             if found:
-                yield _rows(found, [ids.type, item_ids.type, *[pa.int64()] * 6])
+                yield _rows(found, [ids.type, item_ids.type, pa.string(), *[pa.int64()] * 5])
 
     return joined.select("doc_id", "item_id", "row_key", "shifts", "doc_text", "item_text").mapInArrow(verify, schema)
 

@@ -202,7 +202,7 @@ class Tables:
 
 
 def _score_schema(docs: DataFrame) -> str:
-    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, row_key long, n_chars long, log_prob double"
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, row_key string, n_chars long, log_prob double"
 
 
 def score_by_broadcast(docs: DataFrame, tables: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tomeflow.llm.common import cut, small_enough
+from tomeflow.llm.common import cut, row_key, small_enough
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -133,7 +133,7 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-_FOUND = "doc_id {id}, row_key long, n_email long, n_ip long, n_card long, n_phone long, base string, seen array<struct<kind:string,start:long,end:long,instance:string,patterns:array<string>>>"
+_FOUND = "doc_id {id}, row_key string, n_email long, n_ip long, n_card long, n_phone long, base string, seen array<struct<kind:string,start:long,end:long,instance:string,patterns:array<string>>>"
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def find(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "n_email", "n_ip", "n_card", "n_phone", "base", "seen"])
 
     text = F.col("text").cast("string")
-    return docs.select("doc_id", F.xxhash64(F.col("doc_id"), text).alias("row_key"), text.alias("text")).mapInArrow(run, _FOUND.format(id=kind))
+    return docs.select("doc_id", row_key().alias("row_key"), text.alias("text")).mapInArrow(run, _FOUND.format(id=kind))
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_pattern: float = MIN_PATTERN, min_instance: float = MIN_INSTANCE) -> DataFrame:
@@ -223,7 +223,7 @@ def mask(docs: DataFrame, **options) -> DataFrame:
     more = bootstrap(found, **options)
     columns = docs.columns
     text = F.col("text").cast("string")
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id"), text))
+    keyed = docs.withColumn("__key", row_key())
     hints = more.select(F.col("row_key").alias("__key"), F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",").alias("__more"))
     keyed = keyed.join(F.broadcast(hints) if small_enough(more) else hints, "__key", "left")
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeflow.llm.common import by_key, connected_components, cut, keep_rows, small_enough, sorted_groups, texts_of
+from tomeflow.llm.common import by_key, connected_components, cut, keep_rows, row_key, small_enough, sorted_groups, texts_of
 
 SEED = 42
 REFERENCES = 32
@@ -325,14 +325,14 @@ FOREST_AT = 1 << 20
 BLOCK = 1 << 19
 
 
-def _sketch(text: bytes, words: int, prints: int, band_bits: int, weak: int) -> tuple[int, list[int], list[int]]:
+def _sketch(text: bytes, words: int, prints: int, band_bits: int, weak: int) -> tuple[bytes, list[int], list[int]]:
     """``(digest, fingerprints, masks)``: a mask has the ``weak`` bits of least majority in each band.
 
     Shingles that repeat count once, as in ``shingle_set``.
     """
     tokens = text.lower().split()
     joined = b" ".join(tokens)
-    digest = xxhash.xxh3_64_intdigest(joined, seed=7)
+    digest = xxhash.xxh3_128_digest(joined, seed=7)
     if not tokens:
         return digest, [0] * prints, [0] * prints
     ends = list(accumulate(len(t) + 1 for t in tokens))
@@ -365,12 +365,12 @@ def sketches(docs: DataFrame, words: int, prints: int, band_bits: int, weak: int
         for batch in batches:
             got = [_sketch(t, words, prints, band_bits, weak) for t in texts_of(batch.column(2))]
             signed = lambda rows: pa.array([np.array(r, np.uint64).view(np.int64).tolist() for r in rows], pa.list_(pa.int64()))
-            digest = np.array([g[0] for g in got], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest), signed([g[1] for g in got]), signed([g[2] for g in got])], names=["doc_id", "row_key", "digest", "fp", "weak"])
+            digest = [g[0] for g in got]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.binary()), signed([g[1] for g in got]), signed([g[2] for g in got])], names=["doc_id", "row_key", "digest", "fp", "weak"])
 
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id"), text).alias("row_key"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row_key long, digest long, fp array<long>, weak array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row_key string, digest binary, fp array<long>, weak array<long>")
 
 
 def _subsets(mask: np.ndarray, weak: int) -> list[np.ndarray]:
