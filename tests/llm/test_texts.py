@@ -1,7 +1,9 @@
 """Language identification, HTML text, personal data and decontamination."""
 
+import math
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -72,6 +74,77 @@ def test_main_text(page, wanted):
     assert html_text.main_text(page) == wanted
 
 
+FURNITURE_NAMES = ["register", "notice-of-meeting", "related-work", "share-price", "form-10k", "promotion-history", "search-results", "widget", "ad", "comments", "sidebar", "menu"]
+
+
+@pytest.mark.parametrize("name", FURNITURE_NAMES)
+@pytest.mark.parametrize("around", ["article", "main", "div", "section"])
+def test_paragraphs_survive_whatever_their_names(name, around):
+    page = f'<body><nav><a href=x>Home</a></nav><{around}><h2 id="{name}">Head line</h2><p>First paragraph of some length.</p><p class="{name}">Named paragraph, as long as others.</p></{around}></body>'
+    assert html_text.main_text(page) == "Head line\nFirst paragraph of some length.\nNamed paragraph, as long as others."
+
+
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_menus_and_boxes_of_furniture_go_wherever_they_are(around):
+    links = "".join(f"<li><a href=/{i}>Section {i}</a></li>" for i in range(30))
+    text = "<p>First paragraph of the text, of some length.</p><p>Second one, with <a href=x>a link</a> in it.</p>"
+    wanted = "First paragraph of the text, of some length.\nSecond one, with a link in it."
+    for box in (f"<ul>{links}</ul>", '<div class="ad-slot">Buy this now, it is cheap and good.</div>', '<div id="comments"><p>I liked it very much, thank you.</p></div>', '<section class="newsletter box">Get our letters every week.</section>'):
+        assert html_text.main_text(f"<body><{around}>{box}{text}</{around}></body>") == wanted, box
+        assert html_text.main_text(f"<body>{box}<{around}>{text}</{around}></body>") == wanted, box
+    assert html_text.main_text(f'<body><div class="widget"><h1>H</h1>{text}</div></body>') == f"H\n{wanted}"
+    assert html_text.main_text("<p>A text of a few words with</p><ul><li><a href=x>one</a><li><a href=y>two</a></ul>") == "A text of a few words with\none\ntwo"
+
+
+def test_densities_by_their_definition():
+    """On random trees without furniture: counts over whole subtrees, one by one."""
+    rng = random.Random(5)
+
+    def tree(depth):
+        name = rng.choice(["div", "section", "p", "a", "ul", "blockquote"])
+        kids = [] if depth == 0 or name in ("p", "a") else [tree(depth - 1) for _ in range(rng.randint(0, 4))]
+        return (name, "".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 3, 40, 200]))), kids)
+
+    def html(t):
+        return f"<{t[0]}>{t[1]}{''.join(map(html, t[2]))}</{t[0]}>"
+
+    def subtree(t, linked=False):
+        linked = linked or t[0] == "a"
+        return [(len(t[1]), linked), *(x for k in t[2] for x in subtree(k, linked))]
+
+    for _ in range(60):
+        root = ("body", "", [tree(4) for _ in range(rng.randint(1, 4))])
+        page = html_text.Page(html(root))
+        body, density, total = page.densities()
+        whole = subtree(root)
+        share = sum(n for n, link in whole if link) / max(1, sum(n for n, _ in whole))
+
+        def wanted(t, share=share):
+            got = subtree(t)
+            c, n = sum(k for k, _ in got), len(got)
+            lc, lt = sum(k for k, link in got if link), sum(link for _, link in got)
+            if not c:
+                return 0.0
+            return c / n * math.log(c / max(lc, 1) * n / max(lt, 1)) / math.log(math.log(c / max(c - lc, 1) * max(lc, 1) + share * c + math.e))
+
+        nodes, todo = [], [root]
+        while todo:
+            t = todo.pop(0)
+            nodes.append(t)
+            todo = [*t[2], *todo]
+        assert page.tag[body:] == [t[0] for t in nodes]
+        assert density[body:] == pytest.approx([wanted(t) for t in nodes])
+        assert total[body:] == pytest.approx([len(t[1]) + sum(map(wanted, t[2])) for t in nodes])
+
+
+def test_broken_markup_takes_linear_time():
+    for page in ("<!--" * 200_000, "<p>x<!-- y " * 100_000, "<textarea>" * 100_000, '<a b="' * 100_000, "<p" * 100_000, "</p>" * 100_000, "<li><div>" * 50_000):
+        began = time.time()
+        html_text.main_text(page)
+        assert time.time() - began < 10
+    assert html_text.main_text("<p>a</p><!--><p>b</p><!---><p>c</p><!-- d --!><p>e</p><!-- <p>f</p>") == "a\nb\nc\ne"
+
+
 def test_deep_pages_do_not_recurse():
     assert html_text.main_text("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
 
