@@ -239,6 +239,41 @@ def test_vectors_that_link_with_nothing(spark):
     assert nndescent.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_saturated_lists_widen_the_search(spark):
+    """Clouds far larger than a list, and copies; every link counts, and ties are many."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((3, 16))
+    x = np.concatenate([centres[np.repeat([0, 1, 2], [400, 150, 60])] + 0.12 * rng.standard_normal((610, 16)), rng.standard_normal((400, 16))]).round(3)
+    x = np.concatenate([x, x[:200]])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in nndescent.near_duplicates(rows, tables=2).collect()}
+    assert [got[i].n_links for i in range(len(x))] == near.sum(axis=1).tolist()
+    component = list(range(len(x)))
+    for i in range(len(x)):  # in order of id, so the first to reach a vector is its least
+        todo = [i] if component[i] == i else []
+        while todo:
+            for j in np.flatnonzero(near[todo.pop()]):
+                if component[j] > i:
+                    component[j] = i
+                    todo.append(j)
+    assert [got[i].component_id for i in range(len(x))] == component
+
+
+def test_the_audit_counts_what_it_compared(spark):
+    x = np.random.default_rng(1).standard_normal((40, 64))
+    far = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    with pytest.warns(UserWarning, match="unmeasured"):
+        assert {r.n_links for r in nndescent.near_duplicates(far).collect()} == {0}
+    close = spark.createDataFrame([(i, (x[0] + 0.001 * v).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes = nndescent.classes(close)[1]
+    lost = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
+    assert nndescent.audit(nodes, lost, 0.95) == (40 * 39, 2 / (40 * 39))
+
+
+
 # --- pipeline ---
 
 

@@ -7,14 +7,20 @@ Vectors of equal bits collapse to a class first. Then:
    keeps its ``K`` nearest. Ties in the signature are dealt by a hash, so that no
    signature can fill a task.
 2. Descent: each vector brings its neighbours and those that name it together
-   (neighbours of neighbours), and each keeps the nearest seen. Lists whose last
-   entry still reaches the threshold are saturated: they are enlarged to hold all
-   that reached it. Rounds end when under ``SETTLED`` of the entries change.
-3. Audit: ``AUDIT`` vectors are compared with all others. While recall of links is
-   under ``RECALL``, further tables and rounds follow (``MORE`` times at most).
+   (neighbours of neighbours), and each keeps the nearest seen. Lists whose
+   ``K``-th entry still reaches the threshold are saturated: they are enlarged to
+   the ``WIDE`` nearest that reach it, and all of these take part in the rounds
+   that follow, the nearest together and the others in parts of that size, dealt
+   anew each round. Rounds end when under ``SETTLED`` of the entries change.
+3. Audit: ``AUDIT`` vectors of all and as many of those that have links are
+   compared with all others. While recall of links is under ``RECALL``, or no link
+   was compared, further tables and rounds follow (``MORE`` times at most). Then
+   recall under ``LEAST_RECALL`` is an error; what else is short of ``RECALL``, or
+   couldn't be measured, is a warning.
 4. Edges at the threshold give the components. Within a component, where all
    links of its members lie, blocks of ``BLOCK`` vectors are compared to count
-   each member's links exactly; no pair is written.
+   each member's links exactly, so that lists bound no vector's links; no pair is
+   written.
 
 Nulls and edges: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing and stay; so do rows with a null id (their component
@@ -25,6 +31,7 @@ Only ``vec_id`` and ``embedding`` are read.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +44,14 @@ from tomeflow.llm.common import by_key, connected_components, cut, sorted_groups
 
 THRESHOLD = 0.95
 K = 10
+WIDE = 80
 TABLES = 8
 RUN = 64
 ROUNDS = 4
 SETTLED = 0.01
 AUDIT = 256
 RECALL = 0.999
+LEAST_RECALL = 0.9
 MORE = 3
 BLOCK = 1024
 
@@ -169,19 +178,30 @@ def start(nodes: DataFrame, tables: range, k: int, threshold: float, run_size: i
     return signatures(nodes, tables).repartitionByRange(*place).sortWithinPartitions(*place).mapInArrow(run, _LIST)
 
 
-def best(lists: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The ``k`` nearest of each list, and all that reach the threshold."""
-    near = lists.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+def trimmed(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """With ``nth``: the ``k`` nearest of each list, and of saturated ones up to ``WIDE`` that reach the threshold."""
     nth = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return near.withColumn("nth", nth).where((F.col("nth") <= k) | (F.col("sim") >= threshold)).drop("nth")
+    first = lists.withColumn("nth", nth).where(F.col("nth") <= max(WIDE, k))  # kept in each task before the shuffle
+    return first.where((F.col("nth") <= k) | (F.col("sim") >= threshold))
+
 
+def best(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The trimmed lists of pairs that may repeat."""
+    return trimmed(lists.groupBy("u", "v").agg(F.max("sim").alias("sim")), k, threshold).drop("nth")
 
-def descend(nodes: DataFrame, lists: DataFrame, k: int, threshold: float) -> DataFrame:
+
+def descend(nodes: DataFrame, lists: DataFrame, k: int, threshold: float, nth_round: int = 0) -> DataFrame:
     """Nearer neighbours found among the neighbours, either way, of each vector."""
     both = lists.unionByName(lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
-    centre = best(both, 2 * k, 2.0).select("u", F.col("v").alias("member"))
+    pairs = both.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    near = trimmed(pairs, 2 * k, threshold).withColumn("size", F.count("*").over(Window.partitionBy("u")))
+    parts = F.ceil(F.col("size") / (2 * k)) - 1
+    part = F.when(F.col("nth") <= 2 * k, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("u", "v", F.lit(nth_round)), parts)).cast("int")
+    centre = near.select(F.xxhash64("u", part).alias("u"), F.col("v").alias("member"))
     floor = lists.groupBy("u").agg(F.min("sim").alias("least"), F.count("*").alias("n"))
-    floor = floor.select(F.col("u").alias("id"), F.when(F.col("n") >= k, F.col("least")).otherwise(-1.5).alias("floor"))
+    # a full list takes what is nearer than its last; a saturated one that has room what reaches the threshold
+    least = F.when(F.col("n") >= max(WIDE, k), F.col("least")).otherwise(F.least("least", F.lit(float(np.nextafter(threshold, -1)))))
+    floor = floor.select(F.col("u").alias("id"), F.when(F.col("n") >= k, least).otherwise(-1.5).alias("floor"))
     data = nodes.select("id", "data", "dim", "width").join(floor, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.5)))
     joined = centre.join(data, centre.member == data.id).select("u", "id", "data", "dim", "width", "floor")
 
@@ -206,9 +226,15 @@ def descend(nodes: DataFrame, lists: DataFrame, k: int, threshold: float) -> Dat
     return by_key(joined, "u", run, _LIST)
 
 
-def audit(nodes: DataFrame, lists: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the links of ``sample`` vectors, found by comparing them with all, that the lists' components hold."""
-    queries = nodes.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "data", "width").collect()
+def audit(nodes: DataFrame, lists: DataFrame, threshold: float, sample: int = AUDIT) -> tuple[int, float]:
+    """``(links, recall)``: the links of sampled vectors, found by comparing them with all, and the share of them within the components ``lists (node, component)``.
+
+    ``sample`` vectors are of all, and ``sample`` of those in components.
+    """
+    order = (F.xxhash64("id"), "id")
+    columns = ["id", "data", "width"]
+    linked = nodes.join(lists.select(F.col("node").alias("id")).orderBy(*order).limit(sample), "id", "left_semi")
+    queries = nodes.orderBy(*order).limit(sample).select(*columns).unionByName(linked.select(*columns)).distinct().collect()
     sent = nodes.sparkSession.sparkContext.broadcast([(r.id, bytes(r.data), r.width) for r in queries])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +257,7 @@ def audit(nodes: DataFrame, lists: DataFrame, threshold: float, sample: int = AU
     comps = lists
     found = true.join(comps.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(comps.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
     n, got = found.agg(F.count("*"), F.sum((F.col("cu") == F.col("cv")).cast("long"))).first()
-    return 1.0 if not n else (got or 0) / n
+    return n, (got or 0) / n if n else 1.0
 
 
 def count_links(nodes: DataFrame, comps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -268,23 +294,27 @@ def count_links(nodes: DataFrame, comps: DataFrame, threshold: float, block: int
 def neighbour_components(nodes: DataFrame, threshold: float = THRESHOLD, k: int = K, tables: int = TABLES, rounds: int = ROUNDS) -> DataFrame:
     """``(node, component)`` of the threshold graph."""
     lists = cut(best(start(nodes, range(tables), k, threshold), k, threshold))
-    comps = None
     for more in range(MORE + 1):
         if more:
             lists = cut(best(lists.unionByName(start(nodes, range(tables * more, tables * (more + 1)), k, threshold)), k, threshold))
-        for _ in range(rounds):
-            found = descend(nodes, lists, k, threshold).withColumn("new", F.lit(1))
+        for nth_round in range(rounds):
+            found = descend(nodes, lists, k, threshold, more * rounds + nth_round).withColumn("new", F.lit(1))
             merged = lists.withColumn("new", F.lit(0)).unionByName(found)
             merged = merged.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-            nth = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-            merged = cut(merged.withColumn("nth", nth).where((F.col("nth") <= k) | (F.col("sim") >= threshold)))
+            merged = cut(trimmed(merged, k, threshold))
             total, changed = merged.agg(F.count("*"), F.sum("new")).first()
             lists = merged.select("u", "v", "sim")
             if (changed or 0) <= SETTLED * (total or 1):
                 break
         comps = cut(connected_components(lists.where(F.col("sim") >= threshold), "u", "v"))
-        if audit(nodes, comps, threshold) >= RECALL:
+        compared, recall = audit(nodes, comps, threshold)
+        if compared and recall >= RECALL:
+            return comps
+        if not compared and more:
             break
+    if compared and recall < LEAST_RECALL:
+        raise RuntimeError(f"recall {recall:.3f} of {compared} audited links after {MORE} further tries")
+    warnings.warn(f"recall {recall:.4f} of {compared} audited links" if compared else "recall is unmeasured: no audited vector has a link", stacklevel=2)
     return comps
 
 
