@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +38,33 @@ def test_phrases_equal_greedy_parsing():
         assert got == [greedy_phrases(text.lower(), samples[x]) for x in parser.langs]
 
 
+def test_a_wide_alphabet_needs_little_memory():
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + i) for i in range(5000)]
+    samples = {"zh": "".join(rng.choice(letters) for _ in range(32_768)), "en": "".join(rng.choice("abcdefghij ") for _ in range(32_768))}
+    tracemalloc.start()
+    parser = langid.Parser(samples)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 50e6
+    assert peak < 200e6
+    text = samples["zh"][100:140] + "xyz" + letters[0] * 3 + samples["zh"][5000:5100]
+    symbols = parser.symbols[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    got = parser.phrases(symbols, np.array([0]), np.array([len(text)]))[:, 0].tolist()
+    assert got == [greedy_phrases(text, samples[x]) for x in parser.langs]
+
+
+def test_ties_repeated_and_null_ids(spark):
+    rows = [(1, "same words here", "aa"), (1, "same words here", "aa"), (2, "same words here", "bb"), (None, "other letters", "cc"), (3, "same words", None), (3, "same words", None), (4, "x" * 200_000, None)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(rows)
+    learned = {r.lang_pred for r in got}
+    assert learned <= {"aa", "bb"}
+    both = [r for r in got if r.doc_id == 3]
+    assert len(both) == 2 and both[0] == both[1]
+    assert (both[0].lang_pred, both[0].score) == ("aa", 0.0) if learned == {"aa"} else True
+
+
 def test_held_out_accuracy(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()

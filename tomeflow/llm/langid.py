@@ -12,14 +12,17 @@ start a phrase of their own, so that memory doesn't follow the longest text and
 many stretches advance together.
 
 The sample: ``sample_docs`` documents a language, in the order of the MD5 of
-their id, and ``sample_symbols`` symbols of them, so models stay of one size
+their id, and ``sample_symbols`` symbols of them, dealt in turns of ``TURN``
+symbols a document, so no long document fills it; models stay of one size
 whatever the corpus. They are built on the workers from the broadcast sample
-(under ``TOTAL_SYMBOLS`` characters).
+(under ``TOTAL_SYMBOLS`` characters), with sparse transitions, so memory follows
+the sample and not the alphabet.
 
 Nulls and edges: null text, and text without letters, is ``und`` with score 0;
-rows with a null language teach nothing; with no labelled row at all everything
-is ``und``; repeated rows come back as often as they came in; columns other than
-``doc_id``, ``text`` and ``lang`` are not read.
+rows with a null language or id teach nothing, of repeated ids one row does; with
+no labelled row at all everything is ``und``; languages that tie go by name;
+repeated rows come back as often as they came in; columns other than ``doc_id``,
+``text`` and ``lang`` are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +43,7 @@ SAMPLE_SYMBOLS = 32_768
 #: Over all languages; with many languages each gets less.
 TOTAL_SYMBOLS = 400_000
 STRETCH = 2048
+TURN = 256
 UNKNOWN, SPACE = 0, 1
 _CACHE: dict = {}
 
@@ -106,53 +110,86 @@ def suffix_automaton(text: str) -> tuple[list[dict[str, int]], list[int]]:
     return step, link
 
 
+class Transitions:
+    """Sparse transitions: an open-addressing table from ``(state, symbol)`` to the next state, at most a third full."""
+
+    def __init__(self, state: np.ndarray, symbol: np.ndarray, to: np.ndarray) -> None:
+        keys = (state.astype(np.int64) << 21 | symbol) + 1  # 0 is a free slot
+        self.bits = max(4, int(3 * len(keys)).bit_length())
+        self.keys, self.to = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            self.keys[slot[free]] = keys[free]  # of keys that meet in a slot the last stays
+            won = free[self.keys[slot[free]] == keys[free]]
+            self.to[slot[won]] = to[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def next(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next states; -1 where there is no transition."""
+        keys = (state.astype(np.int64) << 21 | symbol) + 1
+        slot = self._slot(keys)
+        have = self.keys.take(slot)
+        out = np.where(have == keys, self.to.take(slot), -1)
+        left = np.flatnonzero((have != keys) & (have != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            have = self.keys.take(slot[left])
+            same = have == keys[left]
+            out[left[same]] = self.to.take(slot[left[same]])
+            left = left[~same & (have != 0)]
+        return out
+
+
 class Parser:
-    """Cross-parser over the automata of all languages.
+    """Cross-parser over the automata of all languages; states are numbered through.
 
-    ``go[state + symbol]`` is twice the next state, plus one where a phrase starts;
-    states are multiples of the alphabet's size.
+    A phrase goes on while its state has a transition, so the automata's own
+    transitions are enough; they are stored sparsely, those of the roots as rows.
     """
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.langs = sorted(samples)
         alphabet = sorted(set("".join(samples.values())) - {" "})
-        self.width = len(alphabet) + 2
         symbol = {ch: i + 2 for i, ch in enumerate(alphabet)} | {" ": SPACE}
         self.symbols = np.full(0x110000, UNKNOWN, np.int32)
         lower = _letters()
         for ch, i in symbol.items():
             self.symbols[ord(ch)] = i
         self.symbols = np.where(lower > 0, self.symbols[lower], SPACE).astype(np.int32)
-        tables, self.roots, base = [], [], 0
-        for lang in self.langs:
+        parts, roots, base = [], [], 0
+        self.start = np.zeros((len(self.langs), len(alphabet) + 2), np.int32)
+        for k, lang in enumerate(self.langs):
             step, _ = suffix_automaton(samples[lang])
-            go = np.full((len(step), self.width), -1, np.int64)
-            for s, to in enumerate(step):
-                for ch, t in to.items():
-                    go[s, symbol[ch]] = t
-            root = np.where(go[0] >= 0, go[0], 0)
-            ended = go < 0
-            ended[0] = True  # after the root, any symbol starts a phrase
-            go = np.where(ended, root[None, :], go) * self.width + base
-            tables.append((go * 2 + ended).astype(np.int64).ravel())
-            self.roots.append(base)
-            base += len(step) * self.width
-        self.go = np.concatenate(tables)
-        if 2 * base < 2**31:
-            self.go = self.go.astype(np.int32)
+            parts.append(np.array([(s + base, symbol[ch], t + base) for s, to in enumerate(step) for ch, t in to.items()], np.int64).reshape(-1, 3))
+            roots.append(base)
+            self.start[k] = base  # an unknown symbol is a phrase of its own, after which the root waits
+            for ch, t in step[0].items():
+                self.start[k, symbol[ch]] = t + base
+            base += len(step)
+        self.roots = np.array(roots, np.int32)
+        self.go = Transitions(*np.concatenate(parts).T)
         self.bits = np.array([np.log2(max(2, len(samples[x]))) for x in self.langs])
 
     def phrases(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Phrases of each stretch against each language."""
         order = np.argsort(-sizes, kind="stable")
         at, size = starts[order], sizes[order]
-        state = np.repeat(np.array(self.roots, self.go.dtype)[:, None], len(at), axis=1)
+        state = np.repeat(self.roots[:, None], len(at), axis=1)
         count = np.zeros((len(self.langs), len(at)), np.int32)
         alive = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
+        root = self.roots[:, None]
         for t, k in enumerate(alive):
-            v = self.go.take(state[:, :k] + symbols[at[:k] + t][None, :])
-            count[:, :k] += v & 1
-            state[:, :k] = v >> 1
+            now = symbols[at[:k] + t]
+            was = state[:, :k]
+            v = self.go.next(was.ravel(), np.broadcast_to(now, was.shape).ravel()).reshape(was.shape)
+            ends = (v < 0) | (was == root)  # after the root, any symbol starts a phrase
+            count[:, :k] += ends
+            state[:, :k] = np.where(v < 0, self.start[:, now], v)
         out = np.empty_like(count)
         out[:, order] = count
         return out
@@ -197,18 +234,19 @@ def sample_text(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_symbols:
     order = (F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id"))
     ids = labelled.select("doc_id", "lang").distinct()
     # first within hashed parts of a language, so that its rows never meet in one task
-    for part in (["lang", F.pmod(F.xxhash64("doc_id"), F.lit(256))], ["lang"]):
+    of_part = F.pmod(F.xxhash64("doc_id"), F.lit(256))
+    for part in (["lang", of_part], ["lang", F.pmod(of_part, F.lit(16))], ["lang"]):
         ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("nth") <= sample_docs)
     chosen = {(r.lang, r.doc_id): r.nth for r in ids.collect()}
     if not chosen:
         return {}
     langs = sorted({lang for lang, _ in chosen})
     most = max(256, min(sample_symbols, TOTAL_SYMBOLS // len(langs)))
-    rows = labelled.where(F.col("doc_id").isin(sorted({i for _, i in chosen}))).select("lang", "doc_id", F.expr(f"substring(text, 1, {2 * most})").alias("text")).collect()
-    out: dict[str, str] = {}
-    for r in sorted((r for r in rows if (r.lang, r.doc_id) in chosen), key=lambda r: (r.lang, chosen[r.lang, r.doc_id], r.text)):
-        if len(out.get(r.lang, "")) < most:
-            out[r.lang] = (out.get(r.lang, "") + letters_only(r.text + " "))[:most]
+    rows = labelled.where(F.col("doc_id").isin(sorted({i for _, i in chosen}))).groupBy("lang", "doc_id").agg(F.min(F.expr(f"substring(text, 1, {2 * most})")).alias("text"))
+    texts: dict[str, list[str]] = {}
+    for r in sorted((r for r in rows.collect() if (r.lang, r.doc_id) in chosen), key=lambda r: (r.lang, chosen[r.lang, r.doc_id])):
+        texts.setdefault(r.lang, []).append(letters_only(r.text + " "))
+    out = {lang: "".join(t[at : at + TURN] for at in range(0, max(map(len, of_lang)), TURN) for t in of_lang)[:most] for lang, of_lang in texts.items()}
     return {k: v for k, v in out.items() if v.strip()}
 
 
