@@ -248,57 +248,68 @@ def test_masking_of_overlapping_spans():
 # --- decontamination ---
 
 
+def plain_words(text):
+    return re.findall(rf"[{decontaminate.UNSPACED}]|[^\W{decontaminate.UNSPACED}]+", (text or "").lower())
+
+
 def leak_corpus():
+    """Items of 1 to 40 words, whole or cut out of and into documents, with random substitutions; some twice, some very long."""
     rng = random.Random(9)
-    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(2000)]
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
     text = lambda n: [rng.choice(words) for _ in range(n)]
-    items = [(i, text(rng.choice([6, 9, 20, 40]))) for i in range(12)] + [(50, ["too", "short"]), (51, [])]
-    docs, wanted = [], set()
-    for d in range(60):
-        w = text(rng.randint(0, 120))
-        if d % 3 == 0:
-            item, part = rng.choice(items[:12])
-            part = [*part]
-            if len(part) >= 20 and d % 2:
-                for k in range(3, len(part), 9):
-                    part[k] = "CHANGED"
-            at = rng.randint(0, len(w))
-            w[at:at] = part
-            wanted.add((d, item))
-        docs.append((d, " ".join(x.upper() + "," if rng.random() < 0.1 else x for x in w)))
-    return docs, [(i, " ".join(w)) for i, w in items], wanted
+    items = [(i, text(n)) for i, n in enumerate([2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14, 20, 20, 40, 40])] + [(50, ["rare"]), (51, [])]
+    docs = []
+    for d in range(400):
+        w = text(rng.randint(0, 60) if d % 50 else 30_000)
+        part = [*rng.choice(items)[1]]
+        lo = rng.randint(0, max(0, len(part) - 13)) if d % 3 else 0
+        part = [x if rng.random() > 0.15 else "CHANGED" for x in part[lo:]]
+        at = rng.randint(0, len(w))
+        w[at:at] = part
+        docs.append((d, " ".join(f"\u201c{x.upper()}\u201d," if rng.random() < 0.1 else x for x in w)))
+    docs += [docs[3], docs[3], (500, "一二三四五六七八九十甲乙丙丁戊己"), (501, "x一二三四五六七八九十甲乙丙丁戊x")]
+    return docs, [(i, " ".join(w)) for i, w in items] + [(60, "一二三四五六七八九十甲乙丙丁戊己"), (61, "一二三四五六七八九十甲乙丙丁戊己")]
 
 
 def brute_leaks(docs, items):
+    """By the criterion alone: some window of 13 aligned words, or the whole item, agrees in 0.8 of them."""
     out = set()
     for d, t in docs:
-        w = re.findall(r"[a-z0-9_]+", (t or "").lower())
+        w = np.array(plain_words(t), object)
         for i, u in items:
-            v = re.findall(r"[a-z0-9_]+", (u or "").lower())
+            v = np.array(plain_words(u), object)
             size = min(13, len(v))
-            if len(v) >= 5 and any(sum(w[a + k] == v[b + k] for k in range(size)) >= 0.8 * size and (len(v) >= 15 or w[a - b : a - b + len(v)] == v) for a in range(len(w) - size + 1) for b in range(len(v) - size + 1)):
-                out.add((d, i))
+            for shift in range(1 - len(v), len(w)) if size else ():
+                lo, hi = max(0, -shift), min(len(v), len(w) - shift)
+                if hi - lo >= size and (np.convolve(w[lo + shift : hi + shift] == v[lo:hi], np.ones(size, int), "valid") >= 0.8 * size).any():
+                    out.add((d, i))
+                    break
     return out
 
 
 def test_leaks_equal_brute_force_either_way(spark):
-    docs, items, wanted = leak_corpus()
-    assert brute_leaks(docs, items) == wanted
-    rows = spark.createDataFrame([(d, t, "x") for d, t in docs] + [(900, None, "x"), (901, "", "x")], "doc_id long, text string, item_id string")
-    test = spark.createDataFrame([*items, (60, None)], "item_id long, text string")
+    docs, items = leak_corpus()
+    wanted = brute_leaks([(d, t) for d, t in docs if len(t) < 10_000], items)
+    long = {d for d, t in docs if len(t) >= 10_000}
+    assert {i for _, i in wanted} >= set(range(16)) | {60, 61}
+    rows = spark.createDataFrame([(d, t, "x", 1) for d, t in docs] + [(900, None, "x", 1), (901, "", "x", 1)], "doc_id long, text string, item_id string, seed int")
+    test = spark.createDataFrame([*items, (70, None)], "item_id long, text string")
     small = decontaminate.leaks(rows, test)
     large = decontaminate.leaks(rows, test, seed_limit=0)
-    assert {(r.doc_id, r.item_id) for r in small.collect()} == wanted
+    assert {(r.doc_id, r.item_id) for r in small.collect() if r.doc_id not in long} == wanted
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.select(small.columns).collect()))
+    few = {(d, i) for d, i in wanted if len(plain_words(dict(items)[i])) >= 9}
+    for limit in (decontaminate.SEED_LIMIT, 0):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(rows, test, seed_limit=limit, min_words=9).collect() if r.doc_id not in long} == few
     kept = decontaminate.clean(rows, test)
     assert kept.columns == rows.columns
-    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows.collect()} - {d for d, _ in wanted}
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows.collect()} - {r.doc_id for r in small.collect()}
     assert decontaminate.leaks(rows.limit(0), test).count() == decontaminate.leaks(rows, test.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize(("window", "similarity"), [(13, 0.8), (8, 0.8), (13, 0.6)])
 def test_every_placing_of_substitutions_is_found(window, similarity):
-    for n in range(5, 17):
+    for n in range(1, 17):
         size = min(window, n)
         differ = max(k for k in range(size) if size - k >= similarity * size)
         item = [f"w{i}" for i in range(n)]

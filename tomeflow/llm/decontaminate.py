@@ -1,24 +1,27 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Texts are lower-cased words. Fixed masks run over the words; a seed is the hash
-of the words at the mask's 1s, so a substitution at a 0 doesn't change it. Test
-and training seeds are joined; each hit proposes an alignment (training position
-minus test position), on which words are compared in place: a document leaks an
-item if some window of ``window`` aligned words (the whole item, if it is
-shorter) agrees in ``min_similarity`` of them.
+Texts are lower-cased words: runs of letters, digits and underscores of any
+script, and each letter by itself of scripts that don't put blanks between words
+(``UNSPACED``). Fixed masks run over the words; a seed is the hash of the words at
+the mask's 1s, so a substitution at a 0 doesn't change it. Test and training seeds
+are joined; each hit proposes an alignment (training position minus test
+position), on which words are compared in place: a document leaks an item if some
+window of ``window`` aligned words (the whole item, if it is shorter) agrees in
+``min_similarity`` of them.
 
 The masks guarantee a hit: wherever the words that may differ stand in a window,
 some mask at some place in it has none of them under a 1. Windows of 13 words and
 more have ``MASKS``, shorter ones shorter masks, and windows with more differing
-words than these allow meet under the longest run of words that must agree. Items
-with under ``MIN_WORDS`` words are too short to be told from ordinary text and
-match nothing.
+words than these allow meet under the longest run of words that must agree. Of
+items with one to four words none may differ at 0.8; ``min_words`` leaves out
+items shorter than that, and is 1 unless given.
 
-The test seeds are broadcast if they are at most ``seed_limit``; beyond that
-the seeds of all documents are shuffled and joined (``links`` the same).
+The test seeds are broadcast if they are at most ``seed_limit``, by the items' own
+word counts. Beyond that the seeds of documents that pass a bitmap of the test
+seeds (of ``JOIN_BITS`` bits) are shuffled and joined, with the same links.
 
-Nulls and edges: null or empty texts leak nothing; null item ids are a value like
-others; repeated rows of a document or item give the same pair once; other
+Nulls and edges: null or empty texts leak nothing, and so do items without words;
+null item ids are a value like others; of alignments that tie the first counts; repeated rows of a document or item give the same pair once; other
 columns are not read.
 """
 
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tomeflow.llm.common import keep_rows, row_key
+from tomeflow.llm.common import cut, keep_rows, row_key
 
 #: Fixed masks: 1s are hashed, 0s may differ. These hit any 13 words of which two differ.
 MASKS = ("11101101", "1101001110011", "110010100111011", "1110100111")
@@ -42,19 +45,21 @@ MASKS = ("11101101", "1101001110011", "110010100111011", "1110100111")
 SHORT = ("1111", "11011")
 FIVE = ("10111", "11101")
 LONGEST = max(map(len, MASKS))
-MIN_WORDS = 5
 WINDOW = 13
 MIN_SIMILARITY = 0.8
 SEED_LIMIT = 2_000_000
 FILTER_BITS = 22
+JOIN_BITS = 27
 
-_WORD = re.compile(rb"[a-z0-9_\x80-\xff]+")
+# Thai, Lao, Burmese, Khmer, kana and Han letters.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> np.ndarray:
     """64-bit hashes of the lower-cased words of a text."""
-    found = _WORD.findall((text or "").lower().encode("utf-8", "replace"))
+    found = _WORD.findall((text or "").lower())
     return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
 
 
@@ -74,9 +79,9 @@ def seeds_of(words: np.ndarray, mask: str) -> np.ndarray:
 
 def masks_for(n: int, window: int = WINDOW, min_similarity: float = MIN_SIMILARITY) -> tuple[str, ...]:
     """Masks of an item with ``n`` words, one of which hits each window that passes."""
-    if n < MIN_WORDS:
-        return ()
     size = min(window, n)
+    if not size:
+        return ()
     differ = sum(size - k >= min_similarity * size for k in range(1, size))
     if size >= 13 and differ <= 2:
         return tuple(m for m in MASKS if len(m) <= n)
@@ -164,16 +169,38 @@ def _rows(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_similarity: float = MIN_SIMILARITY, seed_limit: int = SEED_LIMIT) -> DataFrame:
+def item_lengths(items: DataFrame) -> dict[int, int]:
+    """How many words of ``items`` stand in items of each length; those of over ``LONGEST`` words count under the next length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(words_of(t)) for t in b.column(0).to_pylist()], pa.int64())], names=["n"])
+
+    counted = items.select("text").mapInArrow(run, "n long").groupBy(F.least("n", F.lit(LONGEST + 1)).alias("length")).agg(F.sum("n").alias("words"))
+    return {r.length: r.words for r in counted.collect()}
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_similarity: float = MIN_SIMILARITY, seed_limit: int = SEED_LIMIT, min_words: int = 1) -> DataFrame:
     """Verified leaks, one row per document and item: ids, seed hits, matched words and the word span in the document."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    if min_words > 1:
+        items = items.where(F.col("text").isNotNull()).mapInArrow(_at_least(min_words), items.schema)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), row_key().alias("row_key"))
     schema = _LINKS.format(doc=docs.schema["doc_id"].dataType.simpleString(), item=benchmark.schema["item_id"].dataType.simpleString())
-    words = items.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] or 0
-    count = items.count()
-    small = words * len(MASKS) <= seed_limit and count <= seed_limit
-    out = _leaks_by_broadcast(rows, items, schema, window, min_similarity) if small else _leaks_by_join(rows, items, schema, window, min_similarity)
-    return out.distinct()
+    lengths = item_lengths(items)
+    seeds = sum(words * len(masks_for(n, window, min_similarity)) for n, words in lengths.items())
+    if seeds <= seed_limit and items.count() <= seed_limit:
+        return _leaks_by_broadcast(rows, items, schema, window, min_similarity).distinct()
+    masks = sorted({m for n in lengths for m in masks_for(n, window, min_similarity)})
+    return _leaks_by_join(rows, items, masks, schema, window, min_similarity).distinct()
+
+
+def _at_least(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([len(words_of(t)) >= min_words for t in b.column(1).to_pylist()], pa.bool_()))
+
+    return run
 
 
 def _leaks_by_broadcast(docs: DataFrame, items: DataFrame, schema: str, window: int, min_similarity: float) -> DataFrame:
@@ -197,25 +224,45 @@ def _leaks_by_broadcast(docs: DataFrame, items: DataFrame, schema: str, window:
     return docs.mapInArrow(run, schema)
 
 
-def _leaks_by_join(docs: DataFrame, items: DataFrame, schema: str, window: int, min_similarity: float) -> DataFrame:
-    """The same links where the test seeds are too many to broadcast."""
-    every = sorted({m for n in range(MIN_WORDS, max(LONGEST, window) + 1) for m in masks_for(n, window, min_similarity)})
-    keyed = items.select("item_id", "text", F.xxhash64("item_id", "text").alias("item_key"))
+def _bitmap(seeds: DataFrame, bits: int = JOIN_BITS) -> np.ndarray:
+    """Which leading ``bits`` of a seed occur; at most ``2 ** bits / 64`` rows reach the driver."""
+    slot = F.shiftrightunsigned("seed", 64 - bits)
+    marked = seeds.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - bits}) & 63 as int))").alias("bit"))
+    rows = marked.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _leaks_by_join(docs: DataFrame, items: DataFrame, every: list[str], schema: str, window: int, min_similarity: float) -> DataFrame:
+    """The same links where the test seeds are too many to broadcast; ``every`` mask that some item has runs over the documents."""
+    keyed = items.select("item_id", "text", F.md5(F.concat_ws("|", F.col("item_id").isNull().cast("string"), F.col("item_id").cast("string"), "text").cast("binary")).alias("item_key"))
 
-    def seed_rows(of_items: bool):
+    def seed_rows(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bitmap = None if sent is None else sent.value
             for b in batches:
+                keys, places, seeds = [], [], []
                 for key, text in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True):
                     words = words_of(text)
-                    masks = masks_for(len(words), window, min_similarity) if of_items else every
-                    for m in masks:
+                    for m in masks_for(len(words), window, min_similarity) if bitmap is None else every:
                         s = seeds_of(words, m)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), key)), pa.array(np.arange(len(s))), pa.array(s.view(np.int64))], names=["key", "at", "seed"])
+                        at = np.arange(len(s))
+                        if bitmap is not None and len(s):
+                            slot = s >> np.uint64(64 - JOIN_BITS)
+                            at = np.flatnonzero(bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
+                        if len(at):
+                            keys += [key] * len(at)
+                            places.append(at)
+                            seeds.append(s[at])
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(np.concatenate(places)), pa.array(np.concatenate(seeds).view(np.int64))], names=["key", "at", "seed"])
 
         return run
 
-    test = keyed.select("text", "item_key").mapInArrow(seed_rows(True), "key long, at long, seed long").select(F.col("key").alias("item_key"), F.col("at").alias("item_at"), "seed")
-    train = docs.select("text", "row_key").mapInArrow(seed_rows(False), "key long, at long, seed long").select(F.col("key").alias("row_key"), "at", "seed")
+    test = cut(keyed.select("text", "item_key").mapInArrow(seed_rows(None), "key string, at long, seed long").select(F.col("key").alias("item_key"), F.col("at").alias("item_at"), "seed"))
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(test))
+    train = docs.select("text", "row_key").mapInArrow(seed_rows(sent), "key string, at long, seed long").select(F.col("key").alias("row_key"), "at", "seed").distinct()  # repeated rows hit once
     hits = train.join(test, "seed").groupBy("row_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("hits"))
     hits = hits.groupBy("row_key", "item_key").agg(F.collect_list(F.struct("shift", "hits")).alias("shifts"))
     joined = hits.join(docs.select("doc_id", F.col("text").alias("doc_text"), "row_key"), "row_key").join(keyed.withColumnRenamed("text", "item_text"), "item_key")
