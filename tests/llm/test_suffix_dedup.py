@@ -65,6 +65,21 @@ def test_removal_equals_brute_force(spark, options):
     assert mine(spark, docs, **options) == brute(docs)
 
 
+def test_a_frequent_phrase_in_distinct_surroundings(spark):
+    """Hot anchors: windows are dealt singly, and the phrase itself goes from all but the first document."""
+    rng = random.Random(7)
+    junk = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    docs = [(i, junk(rng.randint(0, 90)) + ("The one phrase that stands in each of these texts, whatever is around it." if i % 3 else "of 26 bytes, too short, it ") + junk(rng.randint(0, 90))) for i in range(300)]
+    docs += [(300 + i, "x" * 120 + junk(40)) for i in range(20)]
+    assert mine(spark, docs, hot=20, block_bytes=3000) == mine(spark, docs) == brute(docs)
+
+
+def test_window_hashes():
+    data = np.random.default_rng(1).integers(0, 256, 400).astype(np.uint8)
+    got = suffix_dedup.window_hashes(np.r_[data, data], np.array([3, 403, 4]))
+    assert got[0] == got[1] != got[2]
+
+
 def test_whole_groups_and_large_groups_agree(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "MERGED", 1)
     docs = corpus(6)

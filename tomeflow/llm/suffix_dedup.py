@@ -19,12 +19,17 @@ with a smaller id is removed. A window is a string of ``MATCH`` bytes.
 5. The covered byte ranges return to their documents.
 
 An anchor with over ``hot`` occurrences doesn't gather its chunks in one task:
-its windows are dealt singly, by the hash of their bytes.
+its windows are dealt singly, by the hash of their bytes, equal ones of a block
+once.
+
+Hashes travel in a row for each block and bucket that meet; with so many blocks
+that such a row holds one hash, this is a shuffle on the hash.
 
 Nulls and edges: null text is empty; texts under ``MATCH`` bytes stay whole; rows
-with a null id neither lose bytes nor make others lose any; repeated rows and
-rows of one id don't remove each other, as no id is smaller; matches never cross
-documents; columns other than ``doc_id`` and ``text`` are not read.
+with a null id neither lose bytes nor make others lose any, and are dealt nowhere;
+repeated rows and rows of one id don't remove each other, as no id is smaller;
+matches never cross documents; columns other than ``doc_id`` and ``text`` are not
+read.
 """
 
 from __future__ import annotations
@@ -45,7 +50,9 @@ BLOCK_BYTES = 8 << 20
 SLICE = 1 << 18
 PIECE = 1 << 21
 PLACE_BITS = 22
-HOT = 1_000_000
+HOT = 20_000
+#: Blocks whose hashes share a bucket on average.
+BLOCKS_A_BUCKET = 8
 #: Groups of chunks up to this size have their columns merged by how the chunks agree.
 MERGED = 48
 SYMBOLS_AT_ONCE = 24_000
@@ -148,12 +155,11 @@ def _blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-def _count_schema() -> str:
-    return "block int, bucket int, hashes binary"
+_COUNTS = "block int, bucket int, hashes binary, counts binary"
 
 
 def hashes_of_blocks(buckets: int):
-    """Each block's anchor hashes by bucket; of one hash at most two a batch, enough to tell repeats."""
+    """Each block's anchor hashes by bucket, with how often they occur in the batch (up to 65,535)."""
 
     def run(batches):
         for b in batches:
@@ -163,21 +169,18 @@ def hashes_of_blocks(buckets: int):
             text, *_, h = anchors(offsets, raw)
             ok = known[text]
             owner, key = blocks[text[ok]], _bucket_keys(h[ok], buckets)
-            out = ([], [], [])
+            out = ([], [], [], [])
             for block in np.unique(owner):
-                keys = np.sort(key[owner == block])
-                third = np.zeros(len(keys), bool)
-                third[2:] = keys[2:] == keys[:-2]
-                keys = keys[~third]
+                keys, counts = np.unique(key[owner == block], return_counts=True)
                 bucket = (keys >> np.uint64(32)).astype(np.int64)
                 cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                low = keys.astype(np.uint32)
+                low, counts = keys.astype(np.uint32), np.minimum(counts, 65_535).astype(np.uint16)
                 for lo, hi in zip(cuts, np.r_[cuts[1:], len(keys)], strict=True):
-                    out[0].append(int(block))
-                    out[1].append(int(bucket[lo]))
-                    out[2].append(_blob(low[lo:hi]))
+                    for column, value in zip(out, (int(block), int(bucket[lo]), _blob(low[lo:hi]), _blob(counts[lo:hi])), strict=True):
+                        column.append(value)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["block", "bucket", "hashes"])
+                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["block", "bucket", "hashes", "counts"])
 
     return run
 
@@ -186,11 +189,11 @@ def repeated_hashes(hot: int):
     """Of a bucket: to each block those of its hashes that occur again, and which of them are hot."""
 
     def run(rows: pa.Table) -> pa.Table:
-        blobs = rows.column("hashes").to_pylist()
-        parts = [np.frombuffer(x, np.uint32) for x in blobs]
-        values = np.concatenate(parts)
-        found, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
-        again, is_hot = counts[inverse] > 1, counts[inverse] > hot
+        parts = [np.frombuffer(x, np.uint32) for x in rows.column("hashes").to_pylist()]
+        counts = np.concatenate([np.frombuffer(x, np.uint16) for x in rows.column("counts").to_pylist()])
+        found, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.bincount(inverse, counts, minlength=len(found))[inverse]
+        again, is_hot = total > 1, total > hot
         ends = np.cumsum([len(p) for p in parts])
         out, hots = [], []
         for p, end in zip(parts, ends, strict=True):
@@ -242,7 +245,7 @@ def _chunk_rows(buckets: int, block: int, gkey, doc, row, place, windows, rel, d
     return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
 
-def chunks_of_block(buckets: int):
+def chunks_of_block(count_buckets: int, buckets: int):
     """Chunks of a block whose anchor repeats; a chunk equal to one of a smaller id in the block is covered at once."""
 
     def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
@@ -258,54 +261,58 @@ def chunks_of_block(buckets: int):
         again, hot = keys_of("hashes"), keys_of("hot")
         ids, offsets, raw = _block_of(rows)
         text, lo, hi, anchor, h = anchors(offsets, raw)
-        keys = _bucket_keys(h, buckets)
+        keys = _bucket_keys(h, count_buckets)
         ok = _members(keys, again) & np.array([i is not None for i in ids], bool)[text]
         text, lo, hi, anchor, h, keys = (x[ok] for x in (text, lo, hi, anchor, h, keys))
+        data = raw.tobytes()
+        covered: list[tuple[int, int, int]] = []
+
+        def sent_once(text, lo, hi, h) -> np.ndarray:
+            """The first of equal chunks; the others of larger ids are covered."""
+            first: dict[tuple[int, bytes], int] = {}
+            sent = []
+            for i, (a, b, t, key) in enumerate(zip((offsets[text] + lo).tolist(), (offsets[text] + hi + MATCH).tolist(), text.tolist(), h.tolist(), strict=True)):
+                if first.setdefault((key, data[a:b]), ids[t]) < ids[t]:
+                    base = int(offsets[t])
+                    if covered and covered[-1][0] == t and covered[-1][1] <= a - base <= covered[-1][2]:
+                        covered[-1] = (t, covered[-1][1], max(covered[-1][2], b - base))
+                    else:
+                        covered.append((t, a - base, b - base))
+                else:
+                    sent.append(i)
+            return np.array(sent, np.int64)
+
+        k = sent_once(text, lo, hi, h)
+        text, lo, hi, anchor, h, keys = (x[k] for x in (text, lo, hi, anchor, h, keys))
         if len(hot) and (single := _members(keys, hot)).any():
             # windows of hot anchors singly, under a key of their own bytes
-            n = np.where(single, hi - lo + 1, 1)
-            src = np.repeat(np.arange(len(lo)), n)
-            step = np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n)
-            alone = single[src]
-            text, anchor, h = text[src], anchor[src], h[src].copy()
-            lo, hi = lo[src] + step, np.where(alone, lo[src] + step, hi[src])
-            begin = offsets[text] + lo
-            for i in np.flatnonzero(alone).tolist():
-                h[i] = hash_of(raw[begin[i] : begin[i] + MATCH])
-            anchor = np.where(alone, lo, anchor)
-        data = raw.tobytes()
+            n = (hi - lo + 1)[single]
+            src = np.repeat(np.flatnonzero(single), n)
+            at = lo[src] + np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n)
+            key = window_hashes(raw, offsets[text[src]] + at)
+            k = sent_once(text[src], at, at, key)
+            rest = ~single
+            text, lo, hi, anchor, h = (np.r_[x[rest], y[k]] for x, y in ((text, text[src]), (lo, at), (hi, at), (anchor, at), (h, key)))
         begin, end = (offsets[text] + lo).tolist(), (offsets[text] + hi + MATCH).tolist()
-        hashes = h.tolist()
-        first: dict[tuple[int, bytes], int] = {}
-        sent, cuts, covered = [], [], []
-        doc_at = text.tolist()
-        for i, (a, b) in enumerate(zip(begin, end, strict=True)):
-            piece = data[a:b]
-            owner = ids[doc_at[i]]
-            if first.setdefault((hashes[i], piece), owner) < owner:
-                base = int(offsets[doc_at[i]])
-                row = doc_at[i]
-                if covered and covered[-1][0] == row and a - base <= covered[-1][2]:
-                    covered[-1] = (row, covered[-1][1], b - base)
-                else:
-                    covered.append((row, a - base, b - base))
-            else:
-                sent.append(i)
-                cuts.append(piece)
-        k = np.array(sent, np.int64)
-        doc = np.array([ids[t] for t in text[k]], np.int64)
-        return _chunk_rows(buckets, block, h[k], doc, text[k].astype(np.int32), lo[k].astype(np.int32), (hi[k] - lo[k] + 1).astype(np.uint8), (anchor[k] - lo[k]).astype(np.uint8), cuts, covered)
+        cuts = [data[a:b] for a, b in zip(begin, end, strict=True)]
+        doc = np.array([ids[t] for t in text.tolist()], np.int64)
+        return _chunk_rows(buckets, block, h, doc, text.astype(np.int32), lo.astype(np.int32), (hi - lo + 1).astype(np.uint8), (anchor - lo).astype(np.uint8), cuts, covered)
 
     return run
 
 
-def hash_of(window: np.ndarray) -> int:
-    x = np.uint64(0)
-    with np.errstate(over="ignore"):
-        for w in np.frombuffer(window.tobytes() + b"\0" * (-len(window) % 8), np.uint64):
+def window_hashes(raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Hash of the window at each place of ``raw``."""
+    out = np.zeros(len(begin), np.uint64)
+    for lo in range(0, len(begin), SLICE):
+        rows = np.zeros((len(begin[lo : lo + SLICE]), -(-MATCH // 8) * 8), np.uint8)
+        rows[:, :MATCH] = raw[begin[lo : lo + SLICE, None] + np.arange(MATCH)]
+        x = np.zeros(len(rows), np.uint64)
+        for w in rows.view(np.uint64).T:
             x = (x ^ w) * _ODD[5]
             x ^= x >> np.uint64(31)
-    return int(x)
+        out[lo : lo + SLICE] = x
+    return out
 
 
 def _merge_columns(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -532,18 +539,19 @@ def deduplicate(docs: DataFrame, hot: int = HOT, block_bytes: int = BLOCK_BYTES)
     marked = rows.join(F.broadcast(copies) if small_enough(copies) else copies, "md5", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
     total = rows.agg(F.sum(size)).first()[0] or 0
     blocks = max(8, -(-total // block_bytes))
-    buckets = blocks
+    buckets, count_buckets = blocks, max(8, blocks // BLOCKS_A_BUCKET)
 
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
-    dealt = marked.where("not copy").select(block.alias("block"), "doc_id", "text").repartition("block")
-    seen = dealt.mapInArrow(hashes_of_blocks(buckets), _count_schema())
-    again = seen.groupBy("bucket").applyInArrow(repeated_hashes(hot), _count_schema() + ", hot binary")
-    chunks = dealt.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(chunks_of_block(buckets), _CHUNKS)
+    block = F.pmod(F.xxhash64("doc_id", "md5"), F.lit(blocks)).cast("int")
+    dealt = marked.where("not copy and doc_id is not null").select(block.alias("block"), "doc_id", "text").repartition("block")
+    seen = dealt.mapInArrow(hashes_of_blocks(count_buckets), _COUNTS)
+    again = seen.groupBy("bucket").applyInArrow(repeated_hashes(hot), "block int, bucket int, hashes binary, hot binary")
+    chunks = dealt.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(chunks_of_block(count_buckets, buckets), _CHUNKS)
     found = chunks.groupBy("bucket").applyInArrow(resolve_bucket, "block int, ranges binary")
     kept = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(removed_from_block, _RESULT)
 
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end")))
     gone = marked.where("copy").select("doc_id", size.alias("n_bytes"), whole.alias("spans"), F.lit(b"").alias("kept"))
-    out = kept.unionByName(gone)
+    nameless = rows.where("doc_id is null").select("doc_id", size.alias("n_bytes"), F.slice(whole, 1, 0).alias("spans"), F.col("text").cast("binary").alias("kept"))
+    out = kept.unionByName(gone).unionByName(nameless)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans", "kept")

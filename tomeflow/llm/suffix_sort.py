@@ -1,4 +1,4 @@
-"""Suffix array by Lyndon grouping, in linear time and without renaming a reduced text.
+"""Suffix array by Lyndon grouping, without renaming a reduced text; linear but for sorting the alphabet and each group's members.
 
 Suffixes are grouped by their longest Lyndon prefix. Groups are settled from the
 largest down: each member points to the nearest earlier suffix of a smaller
@@ -32,10 +32,12 @@ def suffix_array(symbols: Sequence[int]) -> list[int]:
     for c, k in counts.items():
         size[head[c]] = k
     size[0] = 1
-    slots = sorted(range(n - 1), key=group.__getitem__)
-    slots.insert(0, n - 1)
-    slot = [0] * n
-    for i, s in enumerate(slots):
+    free = dict(head)
+    slots, slot = [n - 1] * n, [0] * n
+    for s, c in enumerate(symbols):
+        i = free[c]
+        free[c] = i + 1
+        slots[i] = s
         slot[s] = i
     smaller = [-1] * n
 
