@@ -240,6 +240,76 @@ def test_bootstrap_finds_identifiers_in_learned_contexts(spark):
     assert pii.extract(docs.limit(0)).count() == pii.mask(docs.limit(0)).count() == 0
 
 
+def plain_bootstrap(texts, rounds=pii.ROUNDS):
+    """The pattern-instance graph by its definition: spans added to each text."""
+    seen = [(i, o) for i, t in enumerate(texts) for o in pii.occurrences(t, pii.base_spans(t))]
+    instances, kinds = {}, {}
+    for _, (kind, _, _, instance, patterns) in seen:
+        for p in patterns:
+            instances.setdefault(p, set()).add(instance)
+            if kind:
+                kinds[p, instance] = min(kind, kinds.get((p, instance), kind))
+    known = {(instance, kind) for _, (kind, _, _, instance, _) in seen if kind}
+    for _ in range(rounds):
+        confident = {}
+        for p, members in instances.items():
+            for k in pii.KINDS:
+                hits = sum((m, k) in known for m in members)
+                if hits >= pii.MIN_SUPPORT and hits >= pii.MIN_PATTERN * len(members):
+                    confident[p, k] = hits / len(members)
+        scores = {}
+        for (p, k), c in confident.items():
+            for m in instances[p]:
+                if (p, m) not in kinds:
+                    scores[m, k] = scores.get((m, k), 1.0) * max(1e-6, 1 - c)
+        new = {}
+        for (m, k), doubt in sorted(scores.items(), key=lambda x: (x[1], x[0][1])):
+            if 1 - doubt >= pii.MIN_INSTANCE:
+                new.setdefault(m, k)
+        if set(new.items()) <= known:
+            break
+        known |= set(new.items())
+    out = {}
+    for i, (kind, start, end, instance, patterns) in seen:
+        if kind is None:
+            out.setdefault(i, set()).update((k, start, end) for k in pii.KINDS if (instance, k) in known and any((p, k) in confident for p in patterns))
+    return {i: x for i, x in out.items() if x}
+
+
+def test_bootstrap_equals_the_graph_by_its_definition(spark):
+    """Planted identifiers that no base pattern matches, in contexts learned directly, over a skipped word, and from one another."""
+    rng = random.Random(12)
+    word = lambda: rng.choice(["ab", "cd", "ef", "gh", "ij", "kl"]) + rng.choice("xyz") * rng.randint(1, 3)
+    phone, loose = lambda: f"+1 555 {rng.randint(1000000, 9999999)}", lambda: f"555{rng.randint(1000000, 9999999)}"
+    card, decoy = lambda: rng.choice(["4111111111111111", "5500000000000004", "4012888888881881", "378282246310005"]), lambda: str(rng.randint(10**15, 10**16))
+    texts, planted = [], set()
+    for i in range(400):
+        fill = [" ".join(word() for _ in range(rng.randint(2, 6))) for _ in range(3)]
+        if i % 4 == 0:  # learned: next to it, and over a skipped word
+            texts.append(f"{fill[0]} ring me: {phone()} {fill[1]} dial {word()} at {phone()} soon")
+        elif i % 40 == 1:
+            n = loose()
+            texts.append(f"{fill[0]} ring me: {n} {fill[1]}")
+            planted.add((i, n))
+        elif i % 40 == 2:
+            n = loose()
+            texts.append(f"{fill[0]} dial {word()} at {n} soon")
+            planted.add((i, n))
+        else:  # cards and decoys in the same contexts
+            texts.append(f"{fill[0]} number {card() if rng.random() < 0.5 else decoy()} {fill[1]} " + ("x" * 500 + "1234 tail" if i % 50 == 3 else ""))
+    texts += [texts[1], None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    wanted = plain_bootstrap([t or "" for t in texts])
+    got = {}
+    for r in pii.extract(docs).collect():
+        more = {(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)} - {(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.base.split(",") if x)}
+        if more:
+            got[r.doc_id] = more
+    assert got == wanted
+    assert {(i, texts[i][s:e]) for i, x in got.items() for _, s, e in x if i < 400} == planted
+    assert len(planted) == 20
+
+
 def test_masking_of_overlapping_spans():
     assert pii.masked("0123456789", "ip:1:4,card:3:6,phone:8:9") == "0[IP]67[PHONE]9"
     assert pii.masked("abc", "") == "abc"

@@ -1,15 +1,18 @@
 """Personal data: base patterns, and contextual extraction bootstrapped from them.
 
 Base spans are regular expressions with checks (``base_spans``). They seed the
-bootstrap: each occurrence of an identifier induces lexical patterns (the two
-words before it; the word before and the word after). Pattern and instance form
-a graph over the whole corpus, scored in rounds in Spark: a pattern's confidence
-for a kind is the share of its distinct instances known to be of that kind; an
-instance's confidence is ``1 - prod(1 - confidence)`` over its confident
-patterns. Instances that reach ``min_instance`` become known and score patterns
-in the next round. At the end, each unmatched identifier-like token (four digits
-in a row, or an @) that stands in a confident pattern and is a known instance
-gives a further span of that kind.
+bootstrap: each occurrence of an identifier induces lexical patterns: two of the
+words around it, next to it or with one word skipped (``_patterns``), in lower
+case and with digits as 0; a word of over ``LONG`` characters stands as its hash.
+Pattern and instance form a graph over the whole corpus, scored in rounds in
+Spark: a pattern's confidence for a kind is the share of its distinct instances
+known to be of that kind; an instance's confidence is ``1 - prod(1 - confidence)``
+over its confident patterns. Instances that reach ``min_instance`` become known
+and score patterns in the next round, until a round adds none. At the end, each
+unmatched identifier-like token (four digits in a row, or an @) that stands in a
+confident pattern and is a known instance gives a further span of that kind.
+Numbers that merely look like identifiers hold a pattern's confidence down, so
+where contexts are random nothing is added.
 
 Nulls and edges: null text is empty; positions are code points, ends exclusive;
 rows with a null id are searched like others; repeated rows come back as often
@@ -24,6 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,9 +36,10 @@ from tomeflow.llm.common import cut, row_key, small_enough
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
-MIN_SUPPORT = 5
+MIN_SUPPORT = 3
 MIN_PATTERN = 0.9
 MIN_INSTANCE = 0.9
+LONG = 40
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -44,6 +49,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9]{4}|@")
 _SPACE = re.compile(r"\s")
+_DIGIT = re.compile(r"[0-9]")
 _EDGE = ".,;:!?\"'()[]{}<>|"
 
 
@@ -93,15 +99,47 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _short(word: str) -> str:
+    return word if len(word) <= LONG else f"#{xxhash.xxh3_128_hexdigest(word)}"
+
+
 def _word(token: str) -> str:
-    return token.strip(_EDGE).lower()[:40]
+    return _short(_DIGIT.sub("0", token.strip(_EDGE).lower()))
+
+
+def _before(plain: str, at: int, n: int) -> list[str]:
+    """Up to ``n`` words before ``at``, the nearest first; each costs its own length."""
+    out = []
+    while len(out) < n:
+        while at > 0 and plain[at - 1] == " ":
+            at -= 1
+        if at <= 0:
+            break
+        start = plain.rfind(" ", 0, at) + 1
+        out.append(_word(plain[start:at]))
+        at = start
+    return out + ["^"] * (n - len(out))
+
+
+def _after(plain: str, at: int, n: int) -> list[str]:
+    out = []
+    while len(out) < n:
+        while at < len(plain) and plain[at] == " ":
+            at += 1
+        if at >= len(plain):
+            break
+        end = plain.find(" ", at)
+        end = len(plain) if end < 0 else end
+        out.append(_word(plain[at:end]))
+        at = end
+    return out + ["$"] * (n - len(out))
 
 
 def _patterns(plain: str, start: int, end: int) -> list[str]:
-    before = [_word(w) for w in plain[max(0, start - 120) : start].split()[-2:]]
-    after = [_word(w) for w in plain[end : end + 60].split()[:1]]
-    left = ["^"] * (2 - len(before)) + before
-    return [f"L2|{left[0]} {left[1]}", f"LR|{left[1]} _ {after[0] if after else '$'}"]
+    """Two words around a place: ``_`` is the place, ``*`` any word."""
+    b1, b2, b3 = _before(plain, start, 3)
+    a1, a2 = _after(plain, end, 2)
+    return [f"{b2} {b1} _", f"{b3} {b2} * _", f"{b3} * {b1} _", f"{b1} _ {a1}", f"{b2} * _ {a1}", f"{b1} _ * {a2}"]
 
 
 def occurrences(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int, str, list[str]]]:
@@ -109,7 +147,7 @@ def occurrences(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str
     if not spans and not _TRIGGER.search(text):
         return []
     plain = _SPACE.sub(" ", text)
-    out = [(kind, s, e, plain[s:e].lower(), _patterns(plain, s, e)) for kind, s, e in spans]
+    out = [(kind, s, e, _short(plain[s:e].lower()), _patterns(plain, s, e)) for kind, s, e in spans]
     taken = sorted((s, e) for _, s, e in spans)
     i = done = 0
     for m in _TRIGGER.finditer(plain):
@@ -124,8 +162,8 @@ def occurrences(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str
             end -= 1
         while i < len(taken) and taken[i][1] <= start:
             i += 1
-        if start < end and not any(s < end for s, _ in taken[i : i + 1]) and end - start <= 256:
-            out.append((None, start, end, plain[start:end].lower(), _patterns(plain, start, end)))
+        if start < end and not any(s < end for s, _ in taken[i : i + 1]):
+            out.append((None, start, end, _short(plain[start:end].lower()), _patterns(plain, start, end)))
     return out
 
 
@@ -163,7 +201,7 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUP
     edges = cut(seen.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.min("kind").alias("kind")))
     totals = edges.groupBy("pattern").agg(F.count("*").alias("total"))
     totals = cut(totals.where(F.col("total") >= min_support))
-    known = seen.where("kind is not null").select("instance", "kind").distinct()
+    known = cut(seen.where("kind is not null").select("instance", "kind").distinct())
     patterns = None
     for _ in range(rounds):
         hits = edges.select("pattern", "instance").join(known, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("hits"))
@@ -172,7 +210,10 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUP
         scored = edges.where("kind is null").select("pattern", "instance").join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("confidence"))
         best = Window.partitionBy("instance").orderBy(F.desc("confidence"), "kind")
         new = scored.where(F.col("confidence") >= min_instance).withColumn("nth", F.row_number().over(best)).where("nth = 1").select("instance", "kind")
-        known = cut(known.select("instance", "kind").unionByName(new).distinct())
+        grown = cut(known.unionByName(new).distinct())
+        if grown.count() == known.count():
+            break
+        known = grown
     loose = seen.where("kind is null").select("row_key", "start", "end", "instance", F.explode("patterns").alias("pattern"))
     spans = loose.join(patterns.select("pattern", "kind"), "pattern").join(known, ["instance", "kind"]).select("row_key", F.struct("kind", "start", "end").alias("span"))
     return cut(spans.groupBy("row_key").agg(F.collect_set("span").alias("spans")))
