@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
 from tomeflow.llm import simhash
@@ -81,7 +82,7 @@ def test_long_texts_are_hashed_in_parts(monkeypatch):
 def test_components_equal_brute_force(spark):
     rows = corpus()
     wanted = brute_components({i: brute_fingerprint(t) for i, t in rows})
-    for limit in (simhash.GROUP_LIMIT, 12):  # with 12, large groups are dealt out again
+    for limit in (simhash.GROUP_LIMIT, 12, 2):  # with 12, large groups are dealt out again, with 2, into blocks at last
         got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(spark, rows), group_limit=limit).collect()}
         assert got == wanted
 
@@ -139,6 +140,26 @@ def test_similar_groups_equal_brute_force(spark, monkeypatch):
         assert got == wanted
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_of_similar_pairs_at_two_sizes(spark, sf):
+    """All pairs of the documents tables at 0.8 by an inverted index, against the groups."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    sets = {r.doc_id: set(simhash.shingle_set((r.text or "").encode(), 5).tolist()) for r in docs.collect()}
+    holders, shared = {}, {}
+    for i in sorted(sets):
+        for s in sets[i]:
+            for j in holders.setdefault(s, []):
+                shared[j, i] = shared.get((j, i), 0) + 1
+            holders[s].append(i)
+    pairs = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    pairs += [(a, b) for a in sets for b in sets if a < b and not sets[a] and not sets[b]]
+    group = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert len(pairs) > 10
+    assert sum(group[a] == group[b] for a, b in pairs) >= 0.99 * len(pairs)
+    wanted = union(pairs, sets)
+    assert all(wanted[i] == wanted[c] for i, c in group.items())  # nothing is grouped that isn't linked
+
+
 def test_deduplicate_keeps_one_of_each_group(spark):
     text = " ".join(str(i * 37 % 101) for i in range(150))
     rows = [(3, text), (1, text.replace(" 5 ", " five ")), (1, text.replace(" 5 ", " five ")), (7, "other words"), (None, text), (8, None), (9, "")]

@@ -15,8 +15,9 @@ bits. Pairs are found with distance tables to reference fingerprints:
    XOR and bit count.
 4. Each key emits a spanning forest of its links and not all pairs. A key with
    more than ``group_limit`` fingerprints is dealt again under keys of finer
-   bands, twice at most: what still meets then are distinct fingerprints that
-   agree in half their bits or so, held at 48 bytes each.
+   bands, twice at most. What still meets then are distinct fingerprints that
+   agree in half their bits or so; they are dealt into blocks, every two of which
+   meet, so no task holds more than some two limits.
 
 Nulls and edges: null text counts as empty, which has fingerprint zero; a null
 ``doc_id`` keeps its fingerprint, links with nothing and has a null component;
@@ -41,7 +42,7 @@ SEED = 42
 REFERENCES = 32
 GROUP_LIMIT = 20_000
 #: Moduli of the finer bands for keys over the limit; class j holds the bits i with i % m == j.
-#: More levels would multiply the rows of a dense cloud without parting it.
+#: More levels would multiply the rows of a dense cloud without parting it; blocks of it follow.
 FINER = (5, 7)
 SHINGLES_AT_ONCE = 65_536
 
@@ -177,7 +178,7 @@ SMALL_RUN = 24
 _OUT = "kind int, key long, fp long, rep long, other long"
 
 
-def _links(max_bits: int, limit: int, level: int):
+def _links(max_bits: int, limit: int | None):
     """Streams groups of a key: links as (rep, other), rows of too large groups as they came."""
 
     def batch(kind, key, fp, rep, other):
@@ -185,7 +186,7 @@ def _links(max_bits: int, limit: int, level: int):
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(key), pa.array(fp), pa.array(rep), pa.array(other)], names=["kind", "key", "fp", "rep", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in bounded_groups(batches, limit if level < len(FINER) else None):
+        for table in bounded_groups(batches, limit):
             key, fp, rep, whole = table
             if not whole:
                 yield batch(1, key, fp, rep, rep)
@@ -280,19 +281,33 @@ def _deal(frame: DataFrame, keys) -> DataFrame:
     return frame.select("key", "fp", "rep").mapInArrow(run, "key long, fp long, rep long")
 
 
+def in_blocks(over: DataFrame, limit: int) -> DataFrame:
+    """Rows of keys that nothing parts further: every two blocks of at most some ``limit`` rows under a key of their own."""
+    blocks = over.groupBy("key").agg(F.ceil(F.count("*") / limit).cast("int").alias("blocks"))
+    blocks = cut(blocks)
+    dealt = over.join(F.broadcast(blocks) if small_enough(blocks) else blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("own")) | (F.col("blocks") == 1))
+    met = dealt.withColumn("other", F.explode(others))
+    return met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", "rep")
+
+
 def links(classes: DataFrame, max_bits: int = 4, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """``(rep, other)``: links that span every group of ``classes (fp, rep)``."""
     start = classes.select(F.lit(0).cast("long").alias("key"), "fp", "rep")
     dealt = _deal(start, lambda key, fp: cells(fp, max_bits))
     found = None
-    for level in range(len(FINER) + 1):
-        out = cut(by_key(dealt, "key", _links(max_bits, group_limit, level), _OUT, then=("rep",)))
+    for level in range(len(FINER) + 2):
+        limit = group_limit if level <= len(FINER) else None
+        out = cut(by_key(dealt, "key", _links(max_bits, limit), _OUT, then=("rep",)))
         edges = out.where("kind = 0").select("rep", "other")
         found = edges if found is None else found.unionByName(edges)
         over = out.where("kind = 1")
-        if level == len(FINER) or over.isEmpty():
+        if limit is None or over.isEmpty():
             break
-        dealt = _deal(over, lambda key, fp, level=level: finer_cells(key, fp, level))
+        if level < len(FINER):
+            dealt = _deal(over, lambda key, fp, level=level: finer_cells(key, fp, level))
+        else:
+            dealt = in_blocks(over, group_limit)
     return found.distinct()
 
 
