@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tomeflow.functions.answers import is_valid_answer, normalize_answer
-from tomeflow.functions.text import first_heading, first_line, natural_key, nonempty_lines, normalize_markdown, normalize_text, normalize_text_layer, stem, suffix
+from tomeflow.functions.answers import is_valid_answer, json_object, normalize_answer
+from tomeflow.functions.text import first_heading, first_line, natural_key, nonempty_lines, normalize_markdown, normalize_text, normalize_text_layer, plain_text, stem, suffix
 from tomeflow.functions.tokens import tokenize, user_prompt
 from tomeflow.functions.trees import html_paragraphs, html_title
 from tomeflow.operators import catalog, chunking, parses, retrieval, scoring
-from tomeflow.plans import answering
+from tomeflow.plans import answering, preprocess
 from tomeflow.schemas import DOMAINS, PARSE_MODELS
+from tomeflow.sources import readers, runners, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -444,3 +445,162 @@ def final_score(spark, sf_dir):
 UNION ALL SELECT 0, 'summary', '', sum(length(doc_id::VARCHAR) * 1000)::BIGINT, sum(length(doc_id::VARCHAR))::BIGINT, sum(length(doc_id::VARCHAR) * 1001)::BIGINT FROM labels WHERE doc_id % 4 <> 0""")
 def token_summary(spark, sf_dir):
     return scoring.with_summary(_graded(spark, sf_dir)[1])
+
+
+# --- records, files and whole jobs ---
+
+
+def _shared(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A folder in the warehouse for a query that writes and reads back."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tomeflow_queries/{sf_dir.rstrip('/').rsplit('/', 1)[-1]}/{name}"
+
+
+@query(f"SELECT doc_id, {_sql_strip("regexp_replace(replace(replace(x, E'\\r\\n', E'\\n'), E'\\r', E'\\n'), '[ \\t\\f\\v\\p{Z}]+\\n', E'\\n', 'g')")} AS text FROM (SELECT doc_id, '  ' || replace(text, E'\\n', E'　\\t\\r\\n\\r\\n \\r') || E'\\t\\r' AS x FROM documents)")
+def text_plain(spark, sf_dir):
+    """Plain files with a byte order mark and all three line ends."""
+    noisy = F.concat(F.lit("﻿  "), F.replace("text", F.lit("\n"), F.lit("　\t\r\n\r\n \r")), F.lit("\t\r"))
+    return _table(spark, sf_dir, "documents").select("doc_id", plain_text(noisy).alias("text"))
+
+
+_META = "doc_id::VARCHAR AS doc_id, 'raw/' || source || '/' || doc_id % 7 || ['.txt', '.HTML', '.htm', '.pdf'][doc_id % 4 + 1] AS path, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE 'T' || doc_id END AS title, CASE WHEN doc_id % 5 > 0 THEN lang END AS domain"
+
+
+def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as catalogue records; paths repeat their file names in other folders, titles and domains are partly missing."""
+    n = F.col("doc_id")
+    ending = F.element_at(F.array(*[F.lit(x) for x in (".txt", ".HTML", ".htm", ".pdf")]), (n % 4 + 1).cast("int"))
+    title = F.when(n % 3 == 0, F.lit(None)).when(n % 3 == 1, "").otherwise(F.concat(F.lit("T"), n.cast("string")))
+    rows = _table(spark, sf_dir, "documents")
+    return rows.select(n.cast("string").alias("doc_id"), F.concat(F.lit("raw/"), "source", F.lit("/"), (n % 7).cast("string"), ending).alias("path"), title.alias("title"), F.when(n % 5 > 0, F.col("lang")).alias("domain"), "text")
+
+
+@query(f"SELECT doc_id, path, coalesce(title, '') AS title, coalesce(domain, '') AS domain, CASE regexp_extract(lower(path), '[.][a-z]+$') WHEN '.txt' THEN 'txt' WHEN '.pdf' THEN 'pdf' ELSE 'html' END AS kind FROM (SELECT {_META} FROM documents)")
+def document_records(spark, sf_dir):
+    """Catalogue records read back from JSON lines, and how their files are parsed."""
+    path = _shared(spark, sf_dir, "documents.jsonl")
+    writers.write_jsonl(_meta(spark, sf_dir).drop("text"), path, ["doc_id"])
+    return readers.read_documents(spark, path).withColumn("kind", catalog.source_kind(F.col("path")))
+
+
+def _raw_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as raw question records, with what may be missing missing."""
+    n = F.col("doc_id")
+    some = lambda k, value: F.when(n % k > 0, value)
+    rows = _table(spark, sf_dir, "documents")
+    return rows.select(
+        n.alias("pos"), F.concat(F.lit("q"), n.cast("string")).alias("qid"), _domain().alias("domain"), some(2, F.lit("B")).alias("split"), F.concat(F.lit("about "), "source").alias("question"), F.create_map(F.lit("A"), F.col("lang")).alias("options"),
+        F.lit("mcq").alias("answer_format"), F.when(n % 6 == 0, "").otherwise(some(3, F.lit("raw"))).alias("raw_type"), some(4, F.lit("kind")).alias("type"), F.lit("q").alias("qtype"), some(5, F.array(n.cast("string"))).alias("doc_ids"),
+    )
+
+
+@query(f"""SELECT 'q' || doc_id AS qid, {_DOMAIN} AS domain, CASE WHEN doc_id % 2 > 0 THEN 'B' ELSE '' END AS split, 'about ' || source AS question, lang AS option_a, 'mcq' AS answer_format,
+CASE WHEN doc_id % 3 > 0 THEN 'raw' WHEN doc_id % 4 > 0 THEN 'kind' ELSE 'q' END AS qtype, CASE WHEN doc_id % 5 > 0 THEN doc_id::VARCHAR ELSE '' END AS ids FROM documents""")
+def question_records(spark, sf_dir):
+    """Question records read back from JSON lines."""
+    path = _shared(spark, sf_dir, "questions.jsonl")
+    writers.write_jsonl(_raw_questions(spark, sf_dir).drop("pos"), path, ["qid"])
+    read = readers.read_questions(spark, path)
+    return read.select("qid", "domain", "split", "question", read["options"]["A"].alias("option_a"), "answer_format", "qtype", F.array_join("doc_ids", ",").alias("ids"))
+
+
+@query(f"""SELECT *, row_number() OVER (ORDER BY list_position([{", ".join(f"'{d}'" for d in DOMAINS)}], domain), pos) AS place FROM (
+SELECT {_DOMAIN} AS domain, doc_id AS pos, 'q' || doc_id AS qid, CASE WHEN doc_id % 2 > 0 THEN 'B' ELSE 'A' END AS split, CASE WHEN doc_id % 4 > 0 THEN 'kind' ELSE '' END AS raw_type, (doc_id % 5 > 0)::INT AS n_ids FROM documents)""")
+def question_files(spark, sf_dir):
+    """All domains' question files as one table, in the domains' order."""
+    rows = _raw_questions(spark, sf_dir)
+    joined = catalog.question_rows({d: rows.where(F.col("domain") == d) for d in DOMAINS})
+    place = F.row_number().over(Window.orderBy("domain_no", "pos")).cast("long")  # a report's numbering of questions
+    return joined.select("domain", "pos", "qid", "split", "raw_type", F.size("doc_ids").alias("n_ids"), place.alias("place"))
+
+
+@query("""SELECT d.doc_id::VARCHAR AS doc_id, 'raw/' || d.doc_id || CASE WHEN d.doc_id % 2 = 0 THEN '.PDF' ELSE '.txt' END AS path, d.doc_id::VARCHAR AS title, source AS domain,
+'raw/' || source || '/' || d.doc_id || CASE WHEN d.doc_id % 2 = 0 THEN '.PDF' ELSE '.txt' END AS source FROM documents d""")
+def catalogue_rows(spark, sf_dir):
+    """Document records of references that all resolve; suffixes keep their case."""
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("domain"), F.when(F.col("doc_id") % 2 == 0, ".PDF").otherwise(".txt").alias("ending"))
+    files = rows.select("domain", F.concat(F.lit("raw/"), "domain", F.lit("/"), "doc_id", "ending").alias("path"))
+    refs = rows.select("domain", "doc_id", F.lit(1).alias("first_question"), F.lit(0).alias("first_pos"))
+    return catalog.document_rows(catalog.resolve_docs(refs, catalog.stem_index(files))).select("doc_id", "path", "title", "domain", "source")
+
+
+@query(f"""WITH m AS (SELECT doc_id AS n, {_META}, text FROM documents),
+p AS (SELECT n, doc_id, coalesce(domain, '') AS domain, coalesce(title, '') AS given, n % 4 AS kind, {_sql_strip("CASE WHEN n % 4 = 3 THEN '# H' || n || chr(10) || text ELSE text END")} AS text FROM m)
+SELECT doc_id, domain, text, CASE WHEN kind = 3 THEN 'H' || n WHEN kind = 0 THEN coalesce(nullif(given, ''), nullif({_LINES}[1], ''), doc_id) WHEN n % 8 > 3 THEN 'page ' || n ELSE coalesce(nullif(given, ''), doc_id) END AS title FROM p""")
+def parsed_documents(spark, sf_dir):
+    """Documents parsed by the kind of their file, which is found by its whole path; titles by each kind's precedence."""
+    meta = _meta(spark, sf_dir)
+    n = F.col("doc_id").cast("long")
+    path = F.concat(F.lit("file:///data/raw/"), "doc_id", F.lit("/"), F.regexp_extract("path", "[^/]+$", 0))
+    own = meta.withColumn("path", F.regexp_replace(path, "^file:///data/", ""))
+    files = meta.select(F.col("doc_id"), path.alias("path"), "text")
+    kind = n % 4
+    html = files.where(kind.isin(1, 2)).withColumn("title", F.when(n % 8 > 3, F.concat(F.lit("page "), "doc_id")))
+    made = files.where(kind == 3).select("doc_id", F.lit("pypdf").alias("model"), F.concat(F.lit("# H"), "doc_id", F.lit("\n"), "text").alias("text"))
+    return preprocess.parse_documents(catalog.document_meta(own), files.where(kind == 0), html, made, "file:/data").select("doc_id", "title", "domain", "text")
+
+
+@query(f"""{_HITS}, free AS (SELECT qid, rank, score, h.chunk_id FROM ranked r JOIN chunks h USING (chunk_id) WHERE qid::INT % 3 = 0 AND rank <= 8),
+bound AS (SELECT qid, score, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM ranked JOIN chunks c USING (chunk_id) WHERE qid::INT % 3 > 0 AND c.doc_id::BIGINT % 10 = qid::INT % 10)
+SELECT qid, rank::INT AS rank, score, chunk_id FROM free UNION ALL SELECT qid, rank::INT, score, chunk_id FROM bound WHERE rank <= 8""")
+def allowed_hits(spark, sf_dir):
+    """The best chunks within the documents that a question may use (a top-k report); every third question may use all."""
+    asked = _benchmark(spark, sf_dir)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 10).cast("int").alias("part"))
+    may = asked.where("cast(qid as int) % 3 > 0").select("qid", (F.col("qid").cast("int") % 10).alias("part")).join(docs, "part").select("qid", "doc_id")
+    return retrieval.search(asked, chunks(spark, sf_dir), allowed=may).select("qid", "rank", "score", "chunk_id")
+
+
+@query(f"""WITH pages1 AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, CASE WHEN turn % 3 = 2 THEN '' ELSE array_to_string({_LINES}, chr(10)) END AS md FROM conversations),
+kept AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY page) AS n FROM pages1 WHERE md <> ''),
+marked AS (SELECT conv_id, string_agg('<!-- page:' || n || ' -->' || chr(10) || chr(10) || md, chr(10) || chr(10) ORDER BY n) AS text FROM kept GROUP BY conv_id)
+SELECT p.conv_id::VARCHAR AS doc_id, any_value(m.text) IS NOT NULL AS ok, any_value(m.text) AS text, count(*)::INT AS page_count, coalesce(string_agg(page::VARCHAR, ',' ORDER BY page) FILTER (md = ''), '') AS blank_pages,
+CASE WHEN any_value(m.text) IS NULL THEN 'ValueError: no text' END AS error FROM pages1 p LEFT JOIN marked m USING (conv_id) GROUP BY p.conv_id""")
+def layer_pages(spark, sf_dir):
+    """Conversations as files of pages, read page by page through a runner; every third turn is blank."""
+
+    class Runner:
+        def parse(self, content):
+            return content.decode().split("\f")
+
+    runners.register("form-feed", Runner)
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 2, F.lit(" \n")).otherwise(F.concat(F.lit("\n "), "text", F.lit("\n\n"))).alias("text"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    files = rows.groupBy("conv_id").agg(F.array_join(listed, "\f").cast("binary").alias("content")).select(F.col("conv_id").cast("string").alias("doc_id"), F.lit("x.pdf").alias("path"), "content")
+    return runners.parse_files(files, "form-feed").select("doc_id", "ok", "text", "page_count", F.array_join("blank_pages", ",").alias("blank_pages"), "error")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN NULL ELSE ['A', 'B', 'C', 'D'][turn % 4 + 1] END AS answer, CASE WHEN turn % 4 = 0 THEN NULL ELSE 'c' || turn END AS clause FROM conversations""")
+def answer_objects(spark, sf_dir):
+    """The objects in what a model says; every fourth says none."""
+    letter = F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (F.col("turn") % 4 + 1).cast("int"))
+    said = F.concat(F.lit("Well:\n"), F.to_json(F.struct(letter.alias("answer"), F.array(F.struct(F.concat(F.lit("c"), F.col("turn").cast("string")).alias("quoted_clause"))).alias("evidence"))), F.lit("\nThat is all."))
+    got = json_object(F.when(F.col("turn") % 4 == 0, F.lit("I can't say.")).otherwise(said), "answer string, evidence array<struct<doc_id:string,quoted_clause:string,reasoning:string>>")
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", got.alias("o")).select("conv_id", "turn", F.col("o.answer").alias("answer"), F.get("o.evidence", 0)["quoted_clause"].alias("clause"))
+
+
+@query("""SELECT doc_id::VARCHAR AS qid, ['A', 'B'][quality + 1] AS answer, length(doc_id::VARCHAR) * 1001 AS total_tokens FROM labels WHERE doc_id % 4 <> 0
+UNION ALL SELECT 'summary', NULL, sum(length(doc_id::VARCHAR) * 1001)::BIGINT FROM labels WHERE doc_id % 4 <> 0""")
+def answer_file(spark, sf_dir):
+    """The answer file, read back; an empty answer reads as null."""
+    path = _shared(spark, sf_dir, "answers")
+    writers.write_answer_csv(token_summary(spark, sf_dir), path)
+    return spark.read.option("header", "true").schema("qid string, answer string, prompt_tokens long, completion_tokens long, total_tokens long").csv(path).select("qid", "answer", "total_tokens")
+
+
+@query(f"{_HITS} SELECT qid, string_agg(doc_id || ':' || length(text), ',' ORDER BY rank) AS clauses FROM hits GROUP BY qid")
+def evidence_file(spark, sf_dir):
+    """The evidence file of the best chunks, read back."""
+    path = _shared(spark, sf_dir, "evidence")
+    writers.write_evidence(_hits(spark, sf_dir), path)
+    read = spark.read.schema("qid string, evidence array<struct<doc_id:string,quoted_clause:string,reasoning:string>>").json(path)
+    return read.select("qid", F.array_join(F.transform("evidence", lambda e: F.concat(e["doc_id"], F.lit(":"), F.length(e["quoted_clause"]).cast("string"))), ",").alias("clauses"))
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS chunks, sum(start)::BIGINT AS starts, sum(length(text))::BIGINT AS chars FROM chunks")
+def chunk_files(spark, sf_dir):
+    """Documents and chunks written as tables and JSON lines, read back and counted."""
+    docs, made = _shared(spark, sf_dir, "parsed"), _shared(spark, sf_dir, "chunks.jsonl")
+    writers.write_table(_paragraphs(spark, sf_dir), docs)
+    writers.write_jsonl(chunking.make_chunks(spark.read.parquet(docs)), made, ["doc_id", "chunk_id"])
+    counted = readers.read_chunks(spark, made).agg(F.count("*").alias("chunks"), F.sum("start").alias("starts"), F.sum(F.length("text")).alias("chars"))
+    return counted.withColumn("documents", F.lit(spark.read.parquet(docs).count()))
