@@ -196,6 +196,11 @@ def test_revisits(spark):
         assert len(found) == 9
         assert next(r.headers for r in found if r.record_id == 2) == {"etag": '"a"', "content-length": "9", "x": "1", "date": "d1"}
     assert warc.resolve(frame.limit(0)).count() == 0
+    dates = ["Sun, 06 Nov 1994 08:49:37 GMT", "Sunday, 06-Nov-94 08:49:37 GMT", "Sun Nov  6 08:49:37 1994"]
+    pairs = [(i, a, b) for i, (a, b) in enumerate([(a, b) for a in dates for b in [*dates, "Sun, 06 Nov 1994 08:49:38 GMT", "yesterday"]])] + [(99, "yesterday", "yesterday")]
+    rows = [r for i, a, b in pairs for r in ((2 * i, f"b.com/{i}", t(0), "response", {"Last-Modified": a}, "p", 0), (2 * i + 1, f"b.com/{i}", t(1), "revisit", {"last-modified": b}, None, 0))]
+    got = {r.record_id // 2: r.status for r in warc.resolve(spark.createDataFrame(rows, RECORD)).collect()}
+    assert got == {i: "resolved" if b in dates or b == a else "validator_mismatch" for i, a, b in pairs}
 
 
 # --- NN-descent ---
@@ -305,6 +310,56 @@ def test_pipeline_on_the_small_tables(spark, small):
     assert out.where("pass_no = 0").count() > 0.5 * last
 
 
+def test_pipeline_equals_its_stages_by_brute_force(spark, small):
+    """With columns that clash with the stages' own, repeated rows, null ids, an empty and a very long text."""
+    import corpus_pipeline
+    from tests.llm.test_texts import brute_leaks, plain_spans
+    from tomeflow.llm import pii, simhash
+
+    base = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source")
+    own = {"row_key": "k", "fold": 3, "id": "i", "slot": 1.5, "pass_no": "p", "key": 1, "seed": 2, "cluster": None, "row": "r"}
+    longest = base.orderBy(F.length("text").desc(), "doc_id").first()
+    rows = [*base.collect(), *base.limit(2).collect(), (None, None, "en", "a"), (None, "", "en", "a"), (9000, longest.text + " mail someone@example.com" * 200, longest.lang, None), (None, "Of the re ndhewh, and the thing was on it.", "en", None)]
+    schema = "doc_id long, text string, lang string, source string, row_key string, fold int, id string, slot double, pass_no string, key int, seed int, cluster string, row string"
+    docs = spark.createDataFrame([(*tuple(r), *own.values()) for r in rows], schema).cache()
+    stages = dict(corpus_pipeline.STAGES)
+    good = stages["quality"](spark, docs, small).cache()
+    assert good.columns == docs.columns
+
+    texts = [(r.doc_id, r.text) for r in good.collect()]
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for _, t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    wanted = []
+    for g in set(group):
+        ids = [texts[i][0] for i in range(len(texts)) if group[i] == g]
+        wanted.append(min((i for i in ids if i is not None), default=None))
+    one = stages["near_duplicates"](spark, good, small).cache()
+    assert Counter(r.doc_id for r in one.collect()) == Counter(wanted)
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    leaking = {d for d, _ in brute_leaks([(r.doc_id, r.text) for r in one.collect() if len(r.text) < 20_000], items)}
+    clean = stages["decontamination"](spark, one, small).cache()
+    short = lambda rows: {r.doc_id for r in rows.collect() if len(r.text) < 20_000}
+    assert short(clean) == short(one) - leaking
+
+    masked = stages["personal_data"](spark, clean, small).cache()
+    given = {r.doc_id: r.text for r in clean.collect()}
+    for r in masked.collect():
+        spans = ",".join(f"{k}:{a}:{b}" for k, a, b in plain_spans(given[r.doc_id]))
+        assert r.text == pii.masked(given[r.doc_id], spans)
+        assert r.asDict() | own == r.asDict()
+
+    out = stages["mixture"](spark, masked, small)
+    assert out.columns == [*docs.columns, "_pass_no", "block_rank", "_slot", "order_key"]
+    assert ids_of(mixing.plan(masked).collect()) == Counter((r.doc_id, r._pass_no, r._slot) for r in out.collect())
+    assert out.drop("_pass_no", "block_rank", "_slot", "order_key").exceptAll(masked).count() <= out.where("_pass_no > 0").count()
+
+
 def test_pipeline_of_an_empty_table(spark, small):
     import corpus_pipeline
 

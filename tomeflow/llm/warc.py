@@ -3,7 +3,7 @@
 A revisit record says that a server answered "not modified". It is resolved to
 the latest earlier full response of the same canonical URL, if validators agree:
 the entity tags (weak comparison) where the revisit has one, else the
-Last-Modified dates where it has one. The stored headers are kept and the
+Last-Modified dates, however spelled, where it has one. The stored headers are kept and the
 revisit's fields that a 304 response may update replace them.
 
 The as-of join is a last-value carry over time and not a join of pairs. To let
@@ -55,6 +55,14 @@ def _tag(column: str) -> Column:
     return F.regexp_replace(F.col(column).getItem("etag"), "^W/", "")
 
 
+def http_date(text: Column) -> Column:
+    """A date of any of HTTP's three spellings as a timestamp, null for others; two-digit years are 1970 to 2069."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", " "), "^[A-Za-z]+,? ", ""), " (GMT|UTC)$", "")
+    short = F.try_to_timestamp(bare, F.lit("d-MMM-yy HH:mm:ss"))
+    old = F.make_timestamp(F.year(short) - 100, F.month(short), F.dayofmonth(short), F.hour(short), F.minute(short), F.second(short))
+    return F.coalesce(F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss")), F.when(F.year(short) > 2069, old).otherwise(short), F.try_to_timestamp(bare, F.lit("MMM d HH:mm:ss yyyy")))
+
+
 def merged_headers(stored: Column, update: Column) -> Column:
     """Stored fields, replaced or joined by the update's fields that may be merged; sorted by name."""
     allowed = F.map_filter(update, lambda k, _: k.isin(*MERGED))
@@ -90,7 +98,7 @@ def resolve(records: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     found = found.withColumn("stored", F.col("full.headers"))
     tag, stored_tag = _tag("headers"), _tag("stored")
     date, stored_date = F.col("headers").getItem("last-modified"), F.col("stored").getItem("last-modified")
-    agree = F.when(tag.isNotNull(), tag.eqNullSafe(stored_tag)).when(date.isNotNull(), date.eqNullSafe(stored_date))
+    agree = F.when(tag.isNotNull(), tag.eqNullSafe(stored_tag)).when(date.isNotNull(), F.coalesce(http_date(date) == http_date(stored_date), date.eqNullSafe(stored_date)))
     status = F.when(F.col("full").isNull(), "no_earlier_response").when(agree.isNull(), "no_validator").when(agree, "resolved").otherwise("validator_mismatch")
     done = F.col("status") == "resolved"
     return found.withColumn("status", status).select(
