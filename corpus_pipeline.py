@@ -1,8 +1,14 @@
 """Documents to a training mixture: quality, near-duplicates, decontamination, personal data, mixing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
-last return the columns of ``documents``. No stage has an SQL form, so there is
-no ``ORACLE_SQL``; each is tested against brute force.
+last return the columns of ``documents``. No stage has an SQL form but the last, so
+there is no ``ORACLE_SQL``; each is tested against brute force.
+
+Nulls and edges: rows with null or empty texts go in the first stage; null ids are
+kept unless their text repeats that of a document with an id; of repeated rows one
+stays; very long texts are read whole; tables may be empty; further columns pass
+through whatever their names, and the last stage's own columns get underscores in
+front where a name is taken.
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tomeflow.llm import decontaminate, mixing, ngram_lm, pii, simhash
+from tomeflow.llm.common import cut
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +58,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
+    """All stages over the whole documents table; what a stage returns is written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for n, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES):
+            docs = cut(docs)
     return docs
