@@ -9,11 +9,11 @@ contexts. Discounts come from the counts of counts; each order's probabilities a
 joins, on hash-sharded keys, of its counts with its context totals and with the
 order below.
 
-Scores are joins of counts, too. Documents are dealt into blocks of a fold; a
-block asks once for each gram it has, so common grams are no hot keys; the grams
+Scores are joins of counts, too. Neighbouring documents of a fold form a block,
+which asks once for each gram it has, so common grams are no hot keys; the grams
 asked for are joined with the model's tables, longest match first; each block gets
 its answers and sums them up over its documents. No table is collected or
-broadcast, and texts are shuffled once.
+broadcast, and texts are shuffled once, compressed by the block.
 
 A document's perplexity over its whole text is compared with quantiles of the
 trusted documents in its language, on both sides, as noise can be too surprising
@@ -37,6 +37,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -217,12 +219,47 @@ def log_probs(wanted: DataFrame, tables: list[tuple[DataFrame, DataFrame]], unse
     return rows.select("fold", "gram", log_p.alias("log_p"))
 
 
-def _asked(rows: pa.Table) -> pa.Table:
-    """The distinct grams of a block, and the fold that answers."""
-    block = rows.column("block")[0].as_py()
-    key, _ = distinct_grams(*binary_parts(rows.column("text")))
-    n = len(key)
-    return pa.table({"block": pa.array(np.full(n, block, np.int32)), "fold": pa.array(np.full(n, (block + 1) % FOLDS, np.int32)), "gram": pa.array(key.view(np.int64))})
+_PACKED = "block long, fold int, doc_id array<{id}>, lang array<string>, row_key array<string>, size array<long>, texts binary"
+
+
+def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """Documents as blocks of a fold: a row holds neighbouring documents, their texts compressed together, under a hash of their keys."""
+    names = [x.split()[0] for x in _PACKED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            folds = np.asarray(b.column("fold"))
+            for fold in np.unique(folds).tolist():
+                mine = b.filter(pa.array(folds == fold))
+                offsets, raw = binary_parts(mine.column("text"))
+                for lo, hi in row_slices(np.diff(offsets), block_bytes):
+                    keys = mine.column("row_key").slice(lo, hi - lo)
+                    block = np.uint64(xxhash.xxh3_64_intdigest("".join(keys.to_pylist()))).astype(np.int64)
+                    lists = [mine.column("doc_id").slice(lo, hi - lo), mine.column("lang").slice(lo, hi - lo), keys, pa.array(np.diff(offsets[lo : hi + 1]))]
+                    one = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), x) for x in lists]
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([fold], pa.int32()), *one, pa.array([zip_.compress(raw[offsets[lo] : offsets[hi]].tobytes())], pa.binary())], names=names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("fold", "doc_id", "lang", "row_key", "text").mapInArrow(run, _PACKED.format(id=kind))
+
+
+def _unpacked(rows: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(offsets, bytes)`` of the texts of block ``i``."""
+    sizes = np.asarray(rows.column("size")[i].values)
+    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    raw = zstandard.ZstdDecompressor().decompress(rows.column("texts")[i].as_py(), max_output_size=int(offsets[-1])) if offsets[-1] else b""
+    return offsets, np.frombuffer(raw, np.uint8)
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct grams of each block, and the fold that answers."""
+    for b in batches:
+        for i in range(b.num_rows):
+            key, _ = distinct_grams(*_unpacked(b, i))
+            n = len(key)
+            fold = (b.column("fold")[i].as_py() + 1) % FOLDS
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, b.column("block")[i].as_py())), pa.array(np.full(n, fold, np.int32)), pa.array(key.view(np.int64))], names=["block", "fold", "gram"])
 
 
 def _window_sums(logs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -245,35 +282,37 @@ def _window_sums(logs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _scored(schema: pa.Schema):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        n = rows.num_rows
         key, log_p = (np.asarray(answers.column(c).combine_chunks()) for c in ("gram", "log_p"))
         key = key.view(np.uint64)
         order = np.argsort(key)
         key, log_p = key[order], log_p[order]
-        offsets, raw = binary_parts(rows.column("text"))
-        sums, worst, sizes = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
         known = bool(len(key)) and not np.isnan(log_p).any()
-        for lo, hi in row_slices(np.diff(offsets), 1 << 20):
-            g, bounds = grams(offsets[lo : hi + 1], raw)
-            sizes[lo:hi] = np.diff(bounds)
-            if known:
-                logs = np.r_[0.0, np.cumsum(log_p[np.searchsorted(key, g)])]
-                sums[lo:hi], worst[lo:hi] = np.diff(logs[bounds]), _window_sums(logs, bounds)
-        none = pa.nulls(n, pa.float64())
-        return pa.table([rows.column("doc_id"), rows.column("lang"), rows.column("row_key"), pa.array(sizes), pa.array(sums) if known else none, pa.array(worst) if known else none], schema=schema)
+        out = []
+        for i in range(rows.num_rows):
+            offsets, raw = _unpacked(rows, i)
+            n = len(offsets) - 1
+            sums, worst, sizes = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+            for lo, hi in row_slices(np.diff(offsets), 1 << 20):
+                g, bounds = grams(offsets[lo : hi + 1], raw)
+                sizes[lo:hi] = np.diff(bounds)
+                if known:
+                    logs = np.r_[0.0, np.cumsum(log_p[np.searchsorted(key, g)])]
+                    sums[lo:hi], worst[lo:hi] = np.diff(logs[bounds]), _window_sums(logs, bounds)
+            none = pa.nulls(n, pa.float64())
+            lists = [rows.column(c)[i].values for c in ("doc_id", "lang", "row_key")]
+            out.append(pa.table([*lists, pa.array(sizes), pa.array(sums) if known else none, pa.array(worst) if known else none], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
 
 
 def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], unseen: dict[int, float], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, lang, row_key, n_chars, log_prob, worst)`` of ``docs (doc_id, lang, row_key, fold, text)``, by the model of the other fold; without one the last two are null."""
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = max(8, -(-total // block_bytes))
-    block = (F.pmod(F.xxhash64("row_key"), F.lit(parts)) * FOLDS + F.col("fold")).cast("int")
-    dealt = docs.select(block.alias("block"), "doc_id", "lang", "row_key", "text").repartition("block")
-    # one exchange feeds the distinct grams and the join of their answers, so blocks are read once for both
-    asked = dealt.groupBy("block").applyInArrow(_asked, "block int, fold int, gram long").repartition("fold", "gram")
-    answers = asked.join(log_probs(asked.select("fold", "gram").distinct(), tables, unseen), ["fold", "gram"]).select("block", "gram", "log_p")
+    dealt = packed(docs, block_bytes).repartition("block")
+    asked = dealt.mapInArrow(_asked, "block long, fold int, gram long").repartition("fold", "gram")
+    # both read one exchange: what is distinct keeps a block, so that the columns are the same
+    wanted = asked.groupBy("fold", "gram").agg(F.min("block").alias("first")).where("first is not null").select("fold", "gram")
+    answers = asked.join(log_probs(wanted, tables, unseen), ["fold", "gram"]).select("block", "gram", "log_p")
     schema = StructType([docs.schema["doc_id"], StructField("lang", StringType()), StructField("row_key", StringType()), StructField("n_chars", LongType()), StructField("log_prob", DoubleType()), StructField("worst", DoubleType())])
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(to_arrow_schema(schema)), schema)
 
