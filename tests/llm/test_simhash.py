@@ -140,6 +140,15 @@ def test_similar_groups_equal_brute_force(spark, monkeypatch):
         assert got == wanted
 
 
+def test_texts_that_share_an_id_stay_apart(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (3, b + " end"), (9, a + " end"), (9, "other words altogether"), (None, a), (None, "alone")]
+    docs = frame(spark, rows)
+    got = sorted(((r.doc_id or 0, r.component_id) for r in simhash.similar_groups(docs).collect()), key=str)
+    assert got == sorted([(5, 5), (5, 3), (3, 3), (9, 5), (9, 9), (0, 5), (0, None)], key=str)
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.deduplicate(docs).collect()) == sorted([(5, a), (3, b + " end"), (9, "other words altogether"), (0, "alone")])
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_recall_of_similar_pairs_at_two_sizes(spark, sf):
     """All pairs of the documents tables at 0.8 by an inverted index, against the groups."""
@@ -187,10 +196,11 @@ def test_links_in_a_large_group_of_texts_just_below_the_threshold(spark, monkeyp
     assert n * n > simhash.ALL_PAIRS
     pairs = [p for b in simhash._candidates(iter([group])) for p in zip(*[c.to_pylist() for c in b.columns], strict=True)]
     pairs = spark.createDataFrame(pairs, "a long, b long")
-    table = spark.createDataFrame(rows, "id long, text string")
+    table = spark.createDataFrame([(str(i), t) for i, t in rows], "rep_key string, text string")
+    classes = spark.createDataFrame([(i, str(i)) for i, _ in rows], "id long, rep_key string")
     for block in (1 << 19, 10_000):  # one block, then six
         monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
-        found = [(r.a, r.b) for r in simhash.verified(pairs, table, 5, 0.8).collect()]
+        found = [(r.a, r.b) for r in simhash.verified(pairs, classes, table, 5, 0.8).collect()]
         assert union(found, texts) == wanted
 
 

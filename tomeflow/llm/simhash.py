@@ -555,14 +555,17 @@ def _similar_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int
     return left, right
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links that span what reaches ``similarity`` among the classes that ``pairs`` connect; ``texts`` is ``(id, text)``.
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links that span what reaches ``similarity`` among the classes that ``pairs`` connect.
+
+    ``classes (id, rep_key)`` names the row whose text stands for a class, in ``texts (rep_key, text)``.
 
     All sets of a cluster are compared. One with over ``BLOCK`` shingles is dealt
     into blocks, and each two of them meet, so that sets move once a block and not
     once a pair, and none is gathered whole.
     """
-    clusters = cut(connected_components(pairs, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster")))
+    clusters = connected_components(pairs, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    clusters = cut(clusters.join(classes, "id"))
     side = F.broadcast(clusters) if small_enough(clusters) else clusters
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -570,7 +573,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
             sets = [shingle_set(t, words) for t in texts_of(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "cluster", "n", "shingles"])
 
-    members = texts.join(side, "id").select("id", "cluster", "text").dropDuplicates(["id"])
+    members = texts.join(side, "rep_key").select("id", "cluster", "text").dropDuplicates(["id"])  # repeats of one row
     sets = cut(members.mapInArrow(hashed, "id long, cluster long, n long, shingles binary"))
     blocks = sets.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     large = cut(blocks.where("blocks > 1"))
@@ -597,16 +600,20 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, row_key, component_id)``: groups of documents linked at ``similarity`` over word shingles.
 
-    Copies of one sequence of words collapse first. The keys are the same for any
-    number of texts, and so are the pairs that meet.
+    Copies of one sequence of words collapse first, to a class that the least id
+    among them stands for; texts that share an id stay apart. The keys are the same
+    for any number of texts, and so are the pairs that meet.
     """
     rows = cut(sketches(docs, words, PRINTS, BAND_BITS, WEAK_BITS))
-    named = rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    classes = cut(rows.select("digest", "fp", "weak").dropDuplicates(["digest"]).join(named, "digest").select("digest", "id", "fp", "weak"))
+    named = rows.where("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row_key")).alias("rep"))
+    classes = rows.select("digest", "fp", "weak").dropDuplicates(["digest"]).join(named, "digest")
+    classes = cut(classes.select(F.xxhash64("digest").alias("id"), "digest", F.col("rep.doc_id").alias("least"), F.col("rep.row_key").alias("rep_key"), "fp", "weak"))
     pairs = by_key(banded(classes, BAND_BITS, WEAK_BITS), "key", _candidates, "a long, b long", then=("probe", "id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    comps = connected_components(verified(pairs, texts, words, similarity))
-    group = classes.join(comps, classes.id == comps.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    texts = docs.select(row_key().alias("rep_key"), F.col("text").cast("string").alias("text"))
+    comps = connected_components(verified(pairs, classes.select("id", "rep_key"), texts, words, similarity))
+    placed = classes.join(comps, classes.id == comps.node, "left").select("digest", "least", F.coalesce("component", "id").alias("component"))
+    linked = comps.join(classes, comps.node == classes.id).groupBy("component").agg(F.min("least").alias("component_id"))
+    group = placed.join(linked, "component", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"))
     return rows.select("doc_id", "row_key", "digest").join(group, "digest", "left").select("doc_id", "row_key", "component_id")
 
 
