@@ -104,7 +104,7 @@ def _short(word: str) -> str:
 
 
 def _word(token: str) -> str:
-    return _short(_DIGIT.sub("0", token.strip(_EDGE).lower()))
+    return _short(_DIGIT.sub("0", (token.strip(_EDGE) or token).lower()))
 
 
 def _before(plain: str, at: int, n: int) -> list[str]:
