@@ -503,14 +503,13 @@ def question_records(spark, sf_dir):
     return read.select("qid", "domain", "split", "question", read["options"]["A"].alias("option_a"), "answer_format", "qtype", F.array_join("doc_ids", ",").alias("ids"))
 
 
-@query(f"""SELECT *, row_number() OVER (ORDER BY list_position([{", ".join(f"'{d}'" for d in DOMAINS)}], domain), pos) AS place FROM (
+@query(f"""SELECT *, (list_position([{", ".join(f"'{d}'" for d in DOMAINS)}], domain) - 1)::INT AS domain_no FROM (
 SELECT {_DOMAIN} AS domain, doc_id AS pos, 'q' || doc_id AS qid, CASE WHEN doc_id % 2 > 0 THEN 'B' ELSE 'A' END AS split, CASE WHEN doc_id % 4 > 0 THEN 'kind' ELSE '' END AS raw_type, (doc_id % 5 > 0)::INT AS n_ids FROM documents)""")
 def question_files(spark, sf_dir):
-    """All domains' question files as one table, in the domains' order."""
+    """All domains' question files as one table, with what sorts them."""
     rows = _raw_questions(spark, sf_dir)
     joined = catalog.question_rows({d: rows.where(F.col("domain") == d) for d in DOMAINS})
-    place = F.row_number().over(Window.orderBy("domain_no", "pos")).cast("long")  # a report's numbering of questions
-    return joined.select("domain", "pos", "qid", "split", "raw_type", F.size("doc_ids").alias("n_ids"), place.alias("place"))
+    return joined.select("domain", "domain_no", "pos", "qid", "split", "raw_type", F.size("doc_ids").alias("n_ids"))
 
 
 @query("""SELECT d.doc_id::VARCHAR AS doc_id, 'raw/' || d.doc_id || CASE WHEN d.doc_id % 2 = 0 THEN '.PDF' ELSE '.txt' END AS path, d.doc_id::VARCHAR AS title, source AS domain,
