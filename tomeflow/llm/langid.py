@@ -111,38 +111,43 @@ def suffix_automaton(text: str) -> tuple[list[dict[str, int]], list[int]]:
 
 
 class Transitions:
-    """Sparse transitions: an open-addressing table from ``(state, symbol)`` to the next state, at most a third full."""
-
-    def __init__(self, state: np.ndarray, symbol: np.ndarray, to: np.ndarray) -> None:
-        keys = (state.astype(np.int64) << 21 | symbol) + 1  # 0 is a free slot
-        self.bits = max(4, int(3 * len(keys)).bit_length())
-        self.keys, self.to = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.int32)
-        slot, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            free = left[self.keys[slot[left]] == 0]
-            self.keys[slot[free]] = keys[free]  # of keys that meet in a slot the last stays
-            won = free[self.keys[slot[free]] == keys[free]]
-            self.to[slot[won]] = to[won]
-            left = np.setdiff1d(left, won, assume_unique=True)
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+    """Sparse transitions by row displacement: those of a state stand at its offset plus their symbols, in one table that is a quarter full.
+
+    Offsets are drawn at random, for the states with the most transitions first,
+    and drawn again for states that meet others.
+    """
+
+    def __init__(self, state: np.ndarray, symbol: np.ndarray, to: np.ndarray, states: int, width: int) -> None:
+        rng = np.random.Generator(np.random.PCG64(3))
+        room = 4 * len(state) + 64
+        self.offset = np.zeros(states, np.int32)
+        self.owner, self.to = np.full(room + width, -1, np.int32), np.zeros(room + width, np.int32)
+        order = np.argsort(state, kind="stable")
+        state, symbol, to = state[order], symbol[order], to[order]
+        degree = np.bincount(state, minlength=states)
+        for many in 2 ** np.arange(int(degree.max(initial=0)).bit_length())[::-1]:
+            left = np.flatnonzero((degree[state] >= many) & (degree[state] < 2 * many))
+            while len(left):
+                mine = state[left]
+                drawn = rng.integers(0, room, states, dtype=np.int32)
+                slot = drawn[mine] + symbol[left]
+                failed = np.zeros(states, bool)
+                failed[mine[self.owner[slot] >= 0]] = True
+                tried = np.flatnonzero(~failed[mine])
+                before = self.owner[slot[tried]]
+                self.owner[slot[tried]] = mine[tried]  # of states that meet in a slot the last stays
+                failed[mine[tried[self.owner[slot[tried]] != mine[tried]]]] = True
+                lost = failed[mine[tried]]
+                keep = tried[~lost]
+                self.owner[slot[tried]] = before
+                self.owner[slot[keep]], self.to[slot[keep]] = mine[keep], to[left[keep]]
+                self.offset[mine[keep]] = drawn[mine[keep]]
+                left = left[failed[mine]]
 
     def next(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Next states; -1 where there is no transition."""
-        keys = (state.astype(np.int64) << 21 | symbol) + 1
-        slot = self._slot(keys)
-        have = self.keys.take(slot)
-        out = np.where(have == keys, self.to.take(slot), -1)
-        left = np.flatnonzero((have != keys) & (have != 0))
-        while len(left):
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-            have = self.keys.take(slot[left])
-            same = have == keys[left]
-            out[left[same]] = self.to.take(slot[left[same]])
-            left = left[~same & (have != 0)]
-        return out
+        slot = self.offset.take(state) + symbol
+        return np.where(self.owner.take(slot) == state, self.to.take(slot), -1)
 
 
 class Parser:
@@ -165,14 +170,14 @@ class Parser:
         self.start = np.zeros((len(self.langs), len(alphabet) + 2), np.int32)
         for k, lang in enumerate(self.langs):
             step, _ = suffix_automaton(samples[lang])
-            parts.append(np.array([(s + base, symbol[ch], t + base) for s, to in enumerate(step) for ch, t in to.items()], np.int64).reshape(-1, 3))
+            parts.append(np.array([(s + base, symbol[ch], t + base) for s, to in enumerate(step) for ch, t in to.items()], np.int32).reshape(-1, 3))
             roots.append(base)
             self.start[k] = base  # an unknown symbol is a phrase of its own, after which the root waits
             for ch, t in step[0].items():
                 self.start[k, symbol[ch]] = t + base
             base += len(step)
         self.roots = np.array(roots, np.int32)
-        self.go = Transitions(*np.concatenate(parts).T)
+        self.go = Transitions(*np.concatenate(parts).T, base, len(alphabet) + 2)
         self.bits = np.array([np.log2(max(2, len(samples[x]))) for x in self.langs])
 
     def phrases(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -186,10 +191,10 @@ class Parser:
         for t, k in enumerate(alive):
             now = symbols[at[:k] + t]
             was = state[:, :k]
-            v = self.go.next(was.ravel(), np.broadcast_to(now, was.shape).ravel()).reshape(was.shape)
-            ends = (v < 0) | (was == root)  # after the root, any symbol starts a phrase
-            count[:, :k] += ends
-            state[:, :k] = np.where(v < 0, self.start[:, now], v)
+            v = self.go.next(was, now[None, :])
+            ended = v < 0
+            count[:, :k] += ended | (was == root)  # after the root, any symbol starts a phrase
+            state[:, :k] = np.where(ended, self.start[:, now], v)
         out = np.empty_like(count)
         out[:, order] = count
         return out
