@@ -191,10 +191,15 @@ def best(lists: DataFrame, k: int, threshold: float) -> DataFrame:
 
 
 def descend(nodes: DataFrame, lists: DataFrame, k: int, threshold: float, nth_round: int = 0) -> DataFrame:
-    """Nearer neighbours found among the neighbours, either way, of each vector."""
-    both = lists.unionByName(lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
-    pairs = both.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    near = trimmed(pairs, 2 * k, threshold).withColumn("size", F.count("*").over(Window.partitionBy("u")))
+    """Nearer neighbours found among the neighbours, either way, of each vector of ``lists (u, v, sim, new)``.
+
+    A vector around which nothing is new brings nobody together, so its neighbours'
+    vectors stay where they are.
+    """
+    both = lists.unionByName(lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "new"))
+    pairs = both.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("new").alias("new"))
+    around = Window.partitionBy("u")
+    near = trimmed(pairs, 2 * k, threshold).withColumn("size", F.count("*").over(around)).withColumn("fresh", F.max("new").over(around)).where("fresh = 1 and size > 1")
     parts = F.ceil(F.col("size") / (2 * k)) - 1
     part = F.when(F.col("nth") <= 2 * k, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("u", "v", F.lit(nth_round)), parts)).cast("int")
     centre = near.select(F.xxhash64("u", part).alias("u"), F.col("v").alias("member"))
@@ -293,17 +298,18 @@ def count_links(nodes: DataFrame, comps: DataFrame, threshold: float, block: int
 
 def neighbour_components(nodes: DataFrame, threshold: float = THRESHOLD, k: int = K, tables: int = TABLES, rounds: int = ROUNDS) -> DataFrame:
     """``(node, component)`` of the threshold graph."""
-    lists = cut(best(start(nodes, range(tables), k, threshold), k, threshold))
+    lists = cut(best(start(nodes, range(tables), k, threshold), k, threshold).withColumn("new", F.lit(1)))
     for more in range(MORE + 1):
         if more:
-            lists = cut(best(lists.unionByName(start(nodes, range(tables * more, tables * (more + 1)), k, threshold)), k, threshold))
+            found = start(nodes, range(tables * more, tables * (more + 1)), k, threshold)
+            lists = cut(best(lists.select("u", "v", "sim").unionByName(found), k, threshold).withColumn("new", F.lit(1)))
         for nth_round in range(rounds):
             found = descend(nodes, lists, k, threshold, more * rounds + nth_round).withColumn("new", F.lit(1))
             merged = lists.withColumn("new", F.lit(0)).unionByName(found)
             merged = merged.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
             merged = cut(trimmed(merged, k, threshold))
             total, changed = merged.agg(F.count("*"), F.sum("new")).first()
-            lists = merged.select("u", "v", "sim")
+            lists = merged.select("u", "v", "sim", "new")
             if (changed or 0) <= SETTLED * (total or 1):
                 break
         comps = cut(connected_components(lists.where(F.col("sim") >= threshold), "u", "v"))
